@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import covertree, decontaminate, neardup, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_covertree_neardup": covertree.op2_covertree_neardup,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
+    "op5_containment_search": decontaminate.op5_containment_search,
+    "op7_charconv_secrets": secrets.op7_charconv_secrets,
+    "op9_gga_packing": packing.op9_gga_packing,
+    "op10_weak_toxicity": toxicity.op10_weak_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_covertree_neardup": covertree.OP2_SQL,
+    "op5_containment_search": decontaminate.OP5_SQL,
+}
