@@ -10,13 +10,15 @@ missed with probability under ``miss``.
 
 Candidates never form all pairs of a bucket: every class is first compared with the
 smallest class of each of its buckets (a star), and the links found are grouped.  Only
-buckets that still hold classes of several groups need further comparison, and only
-between groups, so a bucket of thousands of near copies costs one comparison each.
-Every link is confirmed on the full sets.
+buckets that still hold classes of several groups need more: their classes meet in blocks
+of bounded size, cut by set size, where a matrix product counts all intersections at once
+and a union-find returns a forest instead of the links.  Every link is confirmed on the
+full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import checkpointed, components
+from .components import UnionFind, checkpointed, components
 from .textkit import U64, mix64, seed64, shingle_hashes, to_long
 
 #: Elements whose permutations are held at once (times slots bytes of memory).
 _CHUNK = 1 << 15
+#: Most classes, and most shingles, of a block of the comparison between groups.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 200_000
 
 
 def band_shape(threshold: float, slots: int = 128, miss: float = 1e-6) -> tuple[int, int]:
@@ -136,6 +140,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _between_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), as a forest per task, between all classes of ``rest(rep, n, pivot)`` whose buckets touch.
+
+    Classes connected through buckets are a field.  Sets of sizes that differ by more than the
+    threshold allows cannot link, so a field is cut by size into steps of that ratio, a step
+    into blocks of bounded size, and only blocks of the same or the next step meet.
+    """
+    fields = components(rest.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    step = F.floor(F.log("n") / math.log(100 / percent + 1e-6)).cast("int")
+    rows = rest.select("rep", "n").distinct().join(fields.withColumnRenamed("id", "rep"), "rep")
+    rows = rows.select("rep", "n", F.col("comp").alias("field"), step.alias("step"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    counts = rows.groupBy("field", "step").agg(parts.alias("parts"))
+    rows = checkpointed(
+        rows.join(counts, ["field", "step"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    )
+    near = counts.select(
+        "field", F.explode(F.array(*(F.col("step") + d for d in (-1, 0, 1)))).alias("step"), F.col("step").alias("other"), F.col("parts").alias("others")
+    )
+    met = rows.join(near, ["field", "step"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    own, other = F.struct("step", "part"), F.struct(F.col("other").alias("step"), F.col("q").alias("part"))
+    met = met.select("rep", "field", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own > other).cast("int").alias("side"))
+    met = met.join(sets.withColumnRenamed("id", "rep"), "rep")
+    return met.groupBy("field", "x", "y").applyInPandas(_block_links(percent), "a long, b long")
+
+
+def _block_links(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
+        sizes = np.array([len(s) for s in pdf["s"]])
+        _, at, times = np.unique(np.concatenate(pdf["s"].to_numpy()), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        common = times[at] > 1
+        at, doc = np.unique(at[common], return_inverse=True)[1], doc[common]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        both = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(at, kind="stable")
+        at, doc = at[order], doc[order]
+        for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+            cut = slice(*np.searchsorted(at, (lo, lo + 4096)))
+            bits = np.zeros((len(ids), 4096), np.float32)
+            bits[doc[cut], at[cut] - lo] = 1
+            both += bits[left] @ bits[right].T
+        link = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        uf = UnionFind()
+        for r, c in zip(*np.nonzero(link)):
+            uf.union(int(ids[left[r]]), int(ids[right[c]]))
+        found = [(x, uf.find(x)) for x in uf.parent if uf.find(x) != x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -180,21 +238,10 @@ def near_duplicates(
         "key", "rep", "n", F.coalesce("comp", "rep").alias("comp")
     )
     mixed = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rest = grouped.join(mixed, "key")
-    left, right = (rest.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "comp"))) for s in "12")
-    across = (
-        left.join(right, "key")
-        .where("comp1 < comp2")
-        .where(fits.format("n1", "n2", percent))
-        .select(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    across = checkpointed(across)
-    if not across.isEmpty():
-        more = checkpointed(_verified(across, hashed, percent))
-        if not more.isEmpty():
-            comp = checkpointed(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)))
+    rest = checkpointed(shared.join(mixed, "key").select("rep", "n", F.col("p.rep").alias("pivot")).distinct())
+    if not rest.isEmpty():
+        more = checkpointed(_between_blocks(rest, hashed, percent))
+        comp = checkpointed(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)))
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("comp", "rep").alias("component_id")
     )
