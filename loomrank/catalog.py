@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomrank.plans import retrieval_queries
+
+QUERIES: dict = {**retrieval_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**retrieval_queries.ORACLE}
