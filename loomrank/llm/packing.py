@@ -35,14 +35,37 @@ OFFSPRING = 6
 #: Bins with more waste than this share go back into the pool of the next round.
 LOOSE = 0.01
 ROUNDS = 3
-_CACHE = 200_000
+#: Distinct white-space-delimited strings whose ids a worker keeps.
+_CACHE = 400_000
+
+
+class _Numbered(dict):
+    """Numbers keys in order of first lookup and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        n = self[key] = len(self)
+        return n
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenation of values[starts[i]:starts[i + 1]] for i in picked, and the sizes."""
+    first, size = starts[picked], starts[picked + 1] - starts[picked]
+    ends = np.cumsum(size)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
+    return values[at], size
 
 
 class Encoder:
-    """Token ids of whole texts, equal to the tokenizer's own, with a bounded cache of words.
+    """Token ids of whole texts, equal to the tokenizer's own, with a bounded cache.
 
-    The tokenizer normalises (NFC, white space, lower case), splits by a pattern and
-    encodes each part on its own, so a part's ids can be reused.  The split is done here
+    The tokenizer normalises (NFC, white space, lower case), drops white space, splits by a
+    pattern and encodes each part on its own, so what stands between white space can be
+    cached.  New parts are encoded many at a time, joined by spaces: each part is one word
+    to the tokenizer and its last token alone carries the word-end mark.  This is done only
     for texts in which Python's and the tokenizer's Unicode tables cannot differ (no
     character from U+0250, no odd control); any other text goes to the tokenizer whole.
     """
@@ -57,52 +80,79 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
         self.tok.encode_special_tokens = True
+        vocab = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids = np.empty(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        base = len(self.at)
-        self.at.update(zip(new, range(base, base + len(new))))
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
-        self.ids = np.append(self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())))
-
-    def encode(self, texts: list[str | None], batch: int = 256) -> Iterator[np.ndarray]:
+        self.chunks, self.parts = _Numbered(), _Numbered()
+        self.chunk_ids, self.chunk_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.part_ids, self.part_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        """Ids of the chunks, and of the parts in them, that were met for the first time."""
+        split = [self._part.findall(c) for c in self.chunks.new]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        number = self.parts.__getitem__
+        parts = np.fromiter((number(x) for ps in split for x in ps), np.int64, int(sizes.sum()))
+        new = self.parts.new
+        if new:
+            lines = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(new):
+                raise AssertionError("a part was not encoded as one word")
+            self.part_at = np.append(self.part_at, self.part_at[-1] + ends)
+            self.part_ids = np.append(self.part_ids, ids)
+            self.parts.new = []
+        ids, size = _gather(self.part_ids, self.part_at, parts)
+        stops = np.append(0, np.cumsum(size))[np.cumsum(sizes)]
+        self.chunk_at = np.append(self.chunk_at, self.chunk_at[-1] + stops)
+        self.chunk_ids = np.append(self.chunk_ids, ids)
+        self.chunks.new = []
+
+    def encode(self, texts: list[str | None], batch: int = 512) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order; null is empty."""
         for lo in range(0, len(texts), batch):
             part = [t or "" for t in texts[lo : lo + batch]]
-            if len(self.at) > _CACHE:
+            if len(self.chunks) > _CACHE:
                 self._reset()
-            split = [None if self._odd.search(t) else self._part.findall(t.lower()) for t in part]
-            known = self.at
-            new = {w for ws in split if ws for w in ws if w not in known}
-            if new:
-                self._learn(list(new))
-            for t, ws in zip(part, split):
-                if ws is None:
+            odd = [bool(self._odd.search(t)) for t in part]
+            split = [[] if o else t.lower().split() for t, o in zip(part, odd)]
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            number = self.chunks.__getitem__
+            found = np.fromiter((n for ws in split for n in map(number, ws)), np.int64, int(sizes.sum()))
+            if self.chunks.new:
+                self._learn()
+            ids, size = _gather(self.chunk_ids, self.chunk_at, found)
+            cuts = np.append(0, np.append(0, np.cumsum(size))[np.cumsum(sizes)]).tolist()
+            for i, t in enumerate(part):
+                if odd[i]:
                     yield np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
-                    continue
-                w = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-                first, size = self.starts[w], self.starts[w + 1] - self.starts[w]
-                ends = np.cumsum(size)
-                pos = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
-                yield self.ids[pos]
+                else:
+                    yield ids[cuts[i] : cuts[i + 1]]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(name: str = TOKENIZER) -> Encoder:
+    """The worker's encoder: its cache serves all tasks that the worker runs."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name)
+    return _ENCODERS[name]
 
 
 def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32); uid is unique per piece of a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder()
+        encoder = encoder_of()
         for pdf in batches:
             out = []
             for doc, ids in zip(pdf["doc_id"], encoder.encode(pdf["text"].tolist())):
-                ids = np.append(ids, np.uint32(0)).astype("<u4")
+                ids = np.append(ids, np.uint32(0)).astype("<u4", copy=False)
                 for i, start in enumerate(range(0, len(ids), capacity)):
                     cut = ids[start : start + capacity]
                     out.append((doc, i, start, len(cut), zlib.crc32(cut.tobytes())))
