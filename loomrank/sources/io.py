@@ -30,7 +30,7 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
     plain = spark.read.schema(DOC + ", " + ", ".join(f"{c} array<string>" for c in CONTAINERS)).option("multiLine", True).json(path)
     fields = [f.strip() for f in DOC_FIELDS.split(",")]
     elements = F.coalesce(*CONTAINERS)
-    wrapped = plain.where(elements.isNotNull()).select(F.from_json(F.explode(elements), DOC).alias("d")).select("d.*")
+    wrapped = plain.where(elements.isNotNull()).select(F.explode(elements).alias("e")).select(F.from_json("e", DOC).alias("d")).select("d.*")
     rows = plain.where(elements.isNull()).drop(*CONTAINERS).unionByName(wrapped)
     picked = [F.coalesce(f"metadata.{n}", n).alias(n) for n in (f.split(" ")[0] for f in fields)]
     params = F.coalesce("metadata.parameters", "parameters", F.from_json(F.lit("{}"), VALUES)).alias("parameters")
