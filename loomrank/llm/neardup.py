@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import UnionFind, checkpointed, components
-from .textkit import U64, mix64, seed64, shingle_hashes, to_long
+from .textkit import U64, mix64, release, seed64, shingle_hashes, to_long
 
 #: Elements whose permutations are held at once (times slots bytes of memory).
 _CHUNK = 1 << 15
@@ -121,6 +121,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text
                 yield pd.DataFrame(
                     {"doc_id": part["doc_id"].values, "n_shingles": [len(s) for s in sets], "set_key": keys, "bands": found}
                 )
+        release()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
@@ -265,6 +266,7 @@ def set_table(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 good = [x == y for x, y in zip(keys, part["set_key"])]
                 yield pd.DataFrame({"id": part["id"].values, "s": sets})[good]
+        release()
 
     wanted = classes.select(F.col("rep").alias("id"), "set_key").join(ids, "id", "left_semi")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import checkpointed
+from .textkit import CACHES, release
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -86,27 +87,23 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.chunks, self.parts = _Numbered(), _Numbered()
+        self.chunks = _Numbered()
         self.chunk_ids, self.chunk_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
-        self.part_ids, self.part_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self) -> None:
-        """Ids of the chunks, and of the parts in them, that were met for the first time."""
+        """Ids of the chunks that were met for the first time."""
         split = [self._part.findall(c) for c in self.chunks.new]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        number = self.parts.__getitem__
-        parts = np.fromiter((number(x) for ps in split for x in ps), np.int64, int(sizes.sum()))
-        new = self.parts.new
-        if new:
-            lines = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
-            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)])
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(new):
-                raise AssertionError("a part was not encoded as one word")
-            self.part_at = np.append(self.part_at, self.part_at[-1] + ends)
-            self.part_ids = np.append(self.part_ids, ids)
-            self.parts.new = []
-        ids, size = _gather(self.part_ids, self.part_at, parts)
+        parts = _Numbered()
+        number = parts.__getitem__
+        picked = np.fromiter((n for ps in split for n in map(number, ps)), np.int64, int(sizes.sum()))
+        lines = [" ".join(parts.new[i : i + 200]) for i in range(0, len(parts.new), 200)]
+        got = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, np.uint32), *got])
+        ends = np.append(0, np.flatnonzero(self.closes[ids]) + 1)
+        if len(ends) != len(parts) + 1:
+            raise AssertionError("a part was not encoded as one word")
+        ids, size = _gather(ids, ends, picked)
         stops = np.append(0, np.cumsum(size))[np.cumsum(sizes)]
         self.chunk_at = np.append(self.chunk_at, self.chunk_at[-1] + stops)
         self.chunk_ids = np.append(self.chunk_ids, ids)
@@ -134,14 +131,11 @@ class Encoder:
                     yield ids[cuts[i] : cuts[i + 1]]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(name: str = TOKENIZER) -> Encoder:
     """The worker's encoder: its cache serves all tasks that the worker runs."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
+    if name not in CACHES:
+        CACHES[name] = Encoder(name)
+    return CACHES[name]
 
 
 def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFrame:
@@ -158,6 +152,7 @@ def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFr
                     out.append((doc, i, start, len(cut), zlib.crc32(cut.tobytes())))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
+        release(TOKENIZER)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = src.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

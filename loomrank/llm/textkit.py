@@ -7,7 +7,10 @@ multi-byte sequence contains an ASCII byte.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U64 = np.uint64
@@ -60,3 +63,18 @@ def window_hashes(h: np.ndarray, width: int, k: int) -> np.ndarray:
 def to_long(x: np.ndarray) -> np.ndarray:
     """Reinterpret uint64 as the int64 that Spark stores."""
     return x.view(np.int64)
+
+
+#: What a worker keeps from task to task, by name.
+CACHES: dict[str, object] = {}
+
+
+def release(*keep: str) -> None:
+    """At the end of a task, drop other caches and give freed memory back: workers live on between stages."""
+    for name in CACHES.keys() - set(keep):
+        del CACHES[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import release
+
 _WORD = re.compile(r"[^\W\d_]+")
 _ADDRESSED = re.compile(r"\b(?:you|du|tu|vous|eres|sie)\b[^.!?\n]{0,24}!")
 
@@ -74,6 +76,7 @@ def _mine(sample: DataFrame) -> dict[str, int]:
                 (pos if y else neg).update(features(text))
             keys = list(pos.keys() | neg.keys())
             yield pd.DataFrame({"f": keys, "p": [pos[k] for k in keys], "q": [neg[k] for k in keys]}).astype({"f": str})
+        release()
 
     counts = sample.mapInPandas(run, "f string, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     precise = precision_bound(F.col("p"), F.col("q"), F.sqrt)
@@ -282,6 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
                     out.append((bits, -2, ids.get(doc, -1), " ".join(sorted(fs & marks))))
             out += [(b, y, n, None) for (b, y), n in tally.items()]
             yield pd.DataFrame(out, columns=["bits", "y", "n", "fs"])
+        release()
 
     got = text.mapInPandas(vote, "bits long, y int, n long, fs string").persist()
     tallied = got.where("y > -2").groupBy("bits", "y").agg(F.sum("n").alias("n")).collect()
