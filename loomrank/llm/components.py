@@ -55,8 +55,13 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": nodes, "b": [uf.find(x) for x in nodes]}, dtype="int64")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over edges (a > b)."""
+#: Edges of one task; fewer edges run in fewer tasks than the session's partitions.
+TASK_EDGES = 100_000
+
+
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
+    """One star round over edges (a > b), in ``tasks`` tasks on the sending side of each exchange."""
+    edges = edges.coalesce(tasks)
     if large:
         sym = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         mins = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -65,7 +70,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         mins = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = edges.join(mins, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = moved.union(mins.select("a", F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    return out.where("a != b").coalesce(tasks).distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -77,15 +82,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")
     )
     edges = checkpointed(edges.mapInPandas(_contract, "a long, b long"))
-    if edges.isEmpty():
+    count = edges.count()
+    if not count:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     last = None
     for _ in range(max_rounds):
-        edges = checkpointed(_star(_star(edges, large=True), large=False))
+        tasks = max(1, -(-count // TASK_EDGES))
+        edges = checkpointed(_star(_star(edges, True, tasks), False, tasks).coalesce(tasks))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break
-        last = now
+        last, count = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(
