@@ -16,7 +16,10 @@ import math
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
+from itertools import count as counter
 
 import numpy as np
 import pandas as pd
@@ -40,16 +43,22 @@ ROUNDS = 3
 _CACHE = 400_000
 
 
-class _Numbered(dict):
-    """Numbers keys in order of first lookup and lists the new ones."""
+class _Numbered(defaultdict):
+    """Numbers keys in order of first lookup, without Python code per lookup."""
 
     def __init__(self) -> None:
-        self.new: list[str] = []
+        super().__init__(counter().__next__)
+        self.seen = 0
 
-    def __missing__(self, key: str) -> int:
-        self.new.append(key)
-        n = self[key] = len(self)
-        return n
+    def numbers(self, groups: list[list[str]], sizes: np.ndarray) -> np.ndarray:
+        """The numbers of all keys of the groups, one after the other."""
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(groups)), np.int64, int(sizes.sum()))
+
+    def unseen(self) -> list[str]:
+        """Keys met since the last call, in order of their numbers."""
+        new = list(islice(reversed(self), len(self) - self.seen))[::-1]
+        self.seen = len(self)
+        return new
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +75,8 @@ class Encoder:
     The tokenizer normalises (NFC, white space, lower case), drops white space, splits by a
     pattern and encodes each part on its own, so what stands between white space can be
     cached.  New parts are encoded many at a time, joined by spaces: each part is one word
-    to the tokenizer and its last token alone carries the word-end mark.  This is done only
+    to the tokenizer and its last token alone carries the word-end mark.  They are normalised
+    and split already, so the model alone encodes their bytes.  This is done only
     for texts in which Python's and the tokenizer's Unicode tables cannot differ (no
     character from U+0250, no odd control); any other text goes to the tokenizer whole.
     """
@@ -77,10 +87,13 @@ class Encoder:
     def __init__(self, name: str = TOKENIZER) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
         self.tok.encode_special_tokens = True
+        self.of_parts = Tokenizer(self.tok.model)
+        self.of_parts.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -91,27 +104,24 @@ class Encoder:
         self.chunk_ids, self.chunk_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
         self.part_ids, self.part_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         """Ids of the chunks, and of the parts in them, that were met for the first time."""
-        split = [self._part.findall(c) for c in self.chunks.new]
+        split = list(map(self._part.findall, chunks))
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        number = self.parts.__getitem__
-        parts = np.fromiter((number(x) for ps in split for x in ps), np.int64, int(sizes.sum()))
-        new = self.parts.new
+        parts = self.parts.numbers(split, sizes)
+        new = self.parts.unseen()
         if new:
             lines = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
-            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)])
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.of_parts.encode_batch_fast(lines, add_special_tokens=False)])
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(new):
                 raise AssertionError("a part was not encoded as one word")
             self.part_at = np.append(self.part_at, self.part_at[-1] + ends)
             self.part_ids = np.append(self.part_ids, ids)
-            self.parts.new = []
         ids, size = _gather(self.part_ids, self.part_at, parts)
         stops = np.append(0, np.cumsum(size))[np.cumsum(sizes)]
         self.chunk_at = np.append(self.chunk_at, self.chunk_at[-1] + stops)
         self.chunk_ids = np.append(self.chunk_ids, ids)
-        self.chunks.new = []
 
     def encode(self, texts: list[str | None], batch: int = 512) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order; null is empty."""
@@ -122,10 +132,10 @@ class Encoder:
             odd = [bool(self._odd.search(t)) for t in part]
             split = [[] if o else t.lower().split() for t, o in zip(part, odd)]
             sizes = np.fromiter(map(len, split), np.int64, len(split))
-            number = self.chunks.__getitem__
-            found = np.fromiter((n for ws in split for n in map(number, ws)), np.int64, int(sizes.sum()))
-            if self.chunks.new:
-                self._learn()
+            found = self.chunks.numbers(split, sizes)
+            new = self.chunks.unseen()
+            if new:
+                self._learn(new)
             ids, size = _gather(self.chunk_ids, self.chunk_at, found)
             cuts = np.append(0, np.append(0, np.cumsum(size))[np.cumsum(sizes)]).tolist()
             for i, t in enumerate(part):
