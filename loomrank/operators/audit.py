@@ -36,12 +36,18 @@ def hash_order(key: Column | str, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string") if isinstance(key, str) else key), 256)
 
 
-def fingerprint(rows: DataFrame, key: str) -> DataFrame:
-    """(n, sha256) of a key set, independent of order and partitioning: the hash of two sums over key hashes."""
+def fingerprint(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """(by, n, sha256) of key sets, independent of order and partitioning: the hash of two sums over key hashes."""
     h = F.sha2(F.col(key).cast("string"), 256)
     part = lambda at: F.sum(F.conv(F.substring(h, at, 12), 16, 10).cast("decimal(38,0)"))
     both = F.concat_ws(":", F.count("*"), part(1).cast("string"), part(13).cast("string"))
-    return rows.agg(F.count("*").alias("n"), F.sha2(both, 256).alias("sha256"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(both, 256).alias("sha256"))
+
+
+def consistency(rows: DataFrame, run: str, key: str) -> DataFrame:
+    """(n, sha256, runs, names): runs over one and the same key set share a row; rows hold distinct (run, key)."""
+    names = F.array_join(F.sort_array(F.collect_list(run)), ",")
+    return fingerprint(rows, key, run).groupBy("n", "sha256").agg(F.count("*").alias("runs"), names.alias("names"))
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
@@ -58,6 +64,14 @@ def sqrt_stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: str)
     return picked.where(F.col("n") <= take).select(key, stratum)
 
 
+def axis_stratified(facts: DataFrame, item: str, axis: str, n: int, axes: int, seed: str) -> DataFrame:
+    """n items of facts(item, axis): ceil(n / axes) of each axis, repeats dropped, cut or topped up from the rest."""
+    order = W.partitionBy(axis).orderBy(hash_order(F.concat_ws(":", axis, item), seed), item)
+    ranked = facts.withColumn("place", F.row_number().over(order))
+    late = F.min(F.when(F.col("place") <= -(-n // axes), 0).otherwise(1)).alias("late")
+    return ranked.groupBy(item).agg(late).orderBy("late", hash_order(item, seed), item).limit(n).select(item)
+
+
 def stratified_split(rows: DataFrame, key: str, stratum: str, seed: str) -> DataFrame:
     """(key, stratum, split): 80/10/10 within each stratum; strata of fewer than five train."""
     by = W.partitionBy(stratum)

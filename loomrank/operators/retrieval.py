@@ -71,15 +71,14 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, q_tokens: Colu
 
 
 def bm25_grid(docs: DataFrame, queries: DataFrame, doc_tokens: Column, q_tokens: Column, q_id: str, k: int, grid: list[tuple[float, float]]) -> DataFrame:
-    """All (k1, b) settings in one plan: the grid is a broadcast relation of a fixed size."""
+    """All (k1, b) settings in one plan: the grid, a broadcast relation of a fixed size, meets only postings of query terms."""
     spark = docs.sparkSession
     cells = F.broadcast(spark.createDataFrame(grid, "k1 double, b double"))
     qterms = query_terms(queries, q_tokens, q_id)
-    post = postings(docs, doc_tokens).crossJoin(cells)
     terms = small(qterms.select("term").distinct())
     base = postings(docs, doc_tokens).join(terms, "term", "left_semi")
     df = base.groupBy("term").agg(F.count("*").alias("df"))
-    post = post.join(df, "term").crossJoin(F.broadcast(collection(docs, doc_tokens)))
+    post = base.join(df, "term").crossJoin(F.broadcast(collection(docs, doc_tokens))).crossJoin(cells)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     k1, b = F.col("k1"), F.col("b")
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b) + k1 * b * F.col("dl") / F.col("avgdl"))
