@@ -146,6 +146,20 @@ def test_language_model(spark):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
 
 
+def test_language_model_contexts(spark):
+    """Words with equal last letters, and words before them, are contexts of their own."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    ids = iter(range(10_000))
+    train = [next(i for i in ids if not fold(i)) for _ in range(160)]
+    lines = ["aping red", "oping blue", "paul is tall", "anna is short"]
+    texts = [(i, lines[k % 4]) for k, i in enumerate(train)]
+    asked = ["aping red", "aping blue", "oping blue", "oping red", "paul is tall", "paul is short", "anna is short", "anna is tall"]
+    held = [next(i for i in ids if fold(i)) for _ in asked]
+    got = {r["doc_id"]: r["score"] for r in hpylm.score_texts(frame(spark, texts + list(zip(held, asked)))).collect()}
+    for right, wrong in zip(held[::2], held[1::2]):
+        assert got[right] > got[wrong] + 0.1
+
+
 def test_seating_bounds():
     rng = np.random.default_rng(0)
     c = np.array([1, 2, 50, 5000.0])
