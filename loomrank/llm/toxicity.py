@@ -282,14 +282,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
                 bits = voters.pattern(t, fs)
                 tally[bits, ids.get(doc, -1)] += 1
                 if doc in chosen:
-                    out.append((bits, -2, ids.get(doc, -1), " ".join(sorted(fs & marks))))
+                    out.append((bits, -2, 1, " ".join(sorted(fs & marks))))
             out += [(b, y, n, None) for (b, y), n in tally.items()]
             yield pd.DataFrame(out, columns=["bits", "y", "n", "fs"])
         release()
 
     got = text.mapInPandas(vote, "bits long, y int, n long, fs string").persist()
     tallied = got.where("y > -2").groupBy("bits", "y").agg(F.sum("n").alias("n")).collect()
-    rows = got.where("y = -2").select("bits", "n", "fs").collect()
+    rows = got.where("y = -2").select("bits", "fs").collect()
     got.unpersist()
     patterns = sorted({r["bits"] for r in tallied})
     place = {b: i for i, b in enumerate(patterns)}
@@ -300,7 +300,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
         else:
             clamped[place[r["bits"]], r["y"]] += r["n"]
     post = fit_label_model(np.array(patterns, dtype=np.int64), counts, clamped, voters.n) if patterns else np.empty(0)
-    y = np.array([r["n"] if r["n"] >= 0 else post[place[r["bits"]]] for r in rows], dtype=float)
+    y = np.array([post[place[r["bits"]]] for r in rows], dtype=float)
     return fit_linear([r["fs"].split(" ") if r["fs"] else [] for r in rows], y)
 
 

@@ -234,6 +234,21 @@ def test_toxicity(spark):
     assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd)
 
 
+def test_toxicity_targets_are_posteriors(spark, monkeypatch):
+    """Rows of one vote pattern have one training target, labelled or not."""
+    texts = [(i, f"zorkface plain{i % 7}" if i % 3 == 0 else f"plain{i % 7} other") for i in range(300)]
+    labels = [(i, int(i % 3 == 0 and i % 5 > 0)) for i in range(0, 300, 2)]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_linear", lambda rows, y: seen.append((rows, y)) or ({}, 0.0))
+    toxicity.learn(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    (rows, y), by = seen[0], {}
+    for fs, target in zip(rows, y):
+        by.setdefault(tuple(fs), set()).add(round(float(target), 9))
+    assert len(y) > 200 and len(by) > 1
+    assert all(len(targets) == 1 for targets in by.values())
+    assert not set(y) & {0.0, 1.0}
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
 
