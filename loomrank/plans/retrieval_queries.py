@@ -167,7 +167,7 @@ def maxsim_topk(spark, sf):
     """Four 16-value slices stand for token vectors."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), _slices().alias("tokens"))
     q = v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
-    return R.maxsim(v, q, K, 64, 16)
+    return R.maxsim(v, q, K, 256, 16)
 
 
 _SPARSE = "SELECT vec_id AS id, 'd' || i AS term, CAST(embedding[i] AS DOUBLE) AS w FROM embeddings, range(1, 65) r(i) WHERE embedding[i] > 0.1::FLOAT"

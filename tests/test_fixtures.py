@@ -83,3 +83,23 @@ def test_docs_of_both_shapes(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"documents": [{"id_": "2", "content": "y"}]}')
     assert io.read_docs(spark, str(tmp_path / "a.json")).select("id", "item_key", "text").collect() == [("1", "meta", "x")]
     assert io.read_docs(spark, str(tmp_path / "b.json")).select("id", "item_key", "text").collect() == [("2", None, "y")]
+
+
+def test_maxsim_preselects_256(spark):
+    """The ten best by MaxSim of the 256 nearest centroids, by brute force."""
+    import numpy as np
+
+    from loomrank.plans import retrieval_queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float).reshape(-1, 4, 16)
+    mid = x.mean(axis=1)
+    mid /= np.linalg.norm(mid, axis=1, keepdims=True)
+    got = {}
+    for r in retrieval_queries.maxsim_topk(spark, sf).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["score"]
+    for q in np.flatnonzero(ids % 50 == 0):
+        near = np.argsort(-(mid @ mid[q]), kind="stable")[:256]
+        best = np.sort(np.einsum("qd,ntd->nqt", x[q], x[near]).max(axis=2).sum(axis=1))[::-1][:10]
+        assert [got[ids[q]][i + 1] for i in range(10)] == pytest.approx(best.tolist(), abs=2e-5)
