@@ -8,10 +8,15 @@ multi-byte sequence contains an ASCII byte.
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 U64 = np.uint64
 _C1, _C2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -70,7 +75,7 @@ CACHES: dict[str, object] = {}
 
 
 def release(*keep: str) -> None:
-    """At the end of a task, drop other caches and give freed memory back: workers live on between stages."""
+    """Drop other caches and give freed memory back: workers live on between tasks and stages."""
     for name in CACHES.keys() - set(keep):
         del CACHES[name]
     pa.default_memory_pool().release_unused()
@@ -78,3 +83,36 @@ def release(*keep: str) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass
+
+
+def framed(batch: pa.RecordBatch, ids: frozenset[str]) -> pd.DataFrame:
+    """The batch in pandas; the columns ``ids`` as nullable integers."""
+    exact = {pa.int64(): pd.Int64Dtype()}.get
+    return pd.DataFrame({f.name: c.to_pandas(types_mapper=exact) if f.name in ids else c.to_pandas() for f, c in zip(batch.schema, batch.columns)})
+
+
+def map_rows(
+    df: DataFrame,
+    run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    schema: str,
+    ids: tuple[str, ...] = ("doc_id",),
+    keep: tuple[str, ...] = (),
+    rows: int = 2048,
+) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` in frames of at most ``rows`` rows, with exact ids and tidy workers.
+
+    pandas turns integers beside a null into floats, which rounds ids above 2^53; the columns
+    ``ids`` are nullable integers instead.  A task starts and ends without the caches of
+    other operators (but for ``keep``).
+    """
+    exact, target = frozenset(ids), to_arrow_schema(_parse_datatype_string(schema))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(*keep)
+        frames = (framed(b.slice(lo, rows), exact) for b in batches for lo in range(0, b.num_rows, rows))
+        for out in run(frames):
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+        release(*keep)
+
+    return df.mapInArrow(mapped, schema)

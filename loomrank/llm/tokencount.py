@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import map_rows
+
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
@@ -56,6 +58,20 @@ def attribute(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return first
 
 
+def sections(encoder: Encoder, text: str) -> tuple[np.ndarray, ...]:
+    """(section, start, length, n_tokens, n_crossing, doc_tokens) of the lines of a text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    starts = line_starts(raw)
+    sizes = encoder.size[encoder.ids(text)]
+    where = attribute(sizes, starts) if len(sizes) else np.empty(0, np.int64)
+    end = np.cumsum(sizes)
+    stop = np.append(starts[1:], len(raw))
+    cross = (end > stop[where]) | (end - sizes < starts[where])
+    chars = np.cumsum(np.r_[0, (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80])
+    n = len(starts)
+    return np.arange(n), chars[starts], chars[stop] - chars[starts], np.bincount(where, minlength=n), np.bincount(where[cross], minlength=n), np.full(n, len(sizes))
+
+
 def section_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, section, start, length, n_tokens, n_crossing, doc_tokens), one row per line of a document.
 
@@ -68,39 +84,17 @@ def section_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer)
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part, out = pdf.iloc[at : at + 1024], []
-                for doc, text in zip(part["doc_id"], part["text"]):
-                    text = text or ""
-                    raw = text.encode("utf-8", "surrogatepass")
-                    starts = line_starts(raw)
-                    sizes = encoder.size[encoder.ids(text)]
-                    where = attribute(sizes, starts) if len(sizes) else np.empty(0, np.int64)
-                    n = np.bincount(where, minlength=len(starts))
-                    end = np.cumsum(sizes)
-                    stop = np.append(starts[1:], len(raw))
-                    cross = (end > stop[where]) | (end - sizes < starts[where])
-                    crossing = np.bincount(where[cross], minlength=len(starts))
-                    chars = np.cumsum(np.r_[0, (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80])
-                    out.append(
-                        pd.DataFrame(
-                            {
-                                "doc_id": doc,
-                                "section": np.arange(len(starts)),
-                                "start": chars[starts],
-                                "length": chars[stop] - chars[starts],
-                                "n_tokens": n,
-                                "n_crossing": crossing,
-                                "doc_tokens": len(sizes),
-                            }
-                        )
-                    )
-                yield pd.concat(out).astype({"doc_id": "Int64"})
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for text in pdf["text"]:
+                for column, values in zip(columns, sections(encoder, text or "")):
+                    column.append(values)
+            counts = np.fromiter(map(len, columns[0]), np.int64, len(pdf))
+            out = {"doc_id": pdf["doc_id"].array.take(np.repeat(np.arange(len(pdf)), counts))}
+            names = ("section", "start", "length", "n_tokens", "n_crossing", "doc_tokens")
+            yield pd.DataFrame(out | {n: np.concatenate(c) for n, c in zip(names, columns)})
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInPandas(
-        run, "doc_id long, section int, start long, length long, n_tokens long, n_crossing long, doc_tokens long"
-    )
+    return map_rows(src, run, "doc_id long, section int, start long, length long, n_tokens long, n_crossing long, doc_tokens long", rows=512)
 
 
 def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
