@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import UnionFind, checkpointed, components
-from .textkit import U64, mix64, release, seed64, shingle_hashes, to_long
+from .textkit import U64, map_rows, mix64, seed64, shingle_hashes, to_long
 
 #: Elements whose permutations are held at once (times slots bytes of memory).
 _CHUNK = 1 << 15
 #: Most classes, and most shingles, of a block of the comparison between groups.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 200_000
+#: Members of a star that are verified in one task; larger stars are split and their centre is copied.
+STAR_MEMBERS = 2048
 
 
 def band_shape(threshold: float, slots: int = 128, miss: float = 1e-6) -> tuple[int, int]:
@@ -102,39 +104,41 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) per row; set_key and bands are null for empty sets."""
+    """(doc_id, text_key, n_shingles, set_key, bands) per row; set_key and bands are null for empty sets."""
     slots = bands * rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                sets = [shingle_hashes(t, k) for t in part["text"]]
-                full = [i for i, s in enumerate(sets) if len(s)]
-                keys: list = [None] * len(sets)
-                found: list = [None] * len(sets)
-                if full:
-                    got = to_long(band_keys(superminhash([sets[i] for i in full], slots), bands, rows))
-                    for i, row in zip(full, got):
-                        keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                        found[i] = row
-                yield pd.DataFrame(
-                    {"doc_id": part["doc_id"].values, "n_shingles": [len(s) for s in sets], "set_key": keys, "bands": found}
-                )
-        release()
-
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+            sets = [shingle_hashes(t, k) for t in pdf["text"]]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            keys: list = [None] * len(sets)
+            found: list = [None] * len(sets)
+            if full:
+                got = to_long(band_keys(superminhash([sets[i] for i in full], slots), bands, rows))
+                for i, row in zip(full, got):
+                    keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+                    found[i] = row
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": [len(s) for s in sets], "set_key": keys, "bands": found})
+
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return map_rows(src, run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>", rows=512)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union.
+
+    Many a share one b: a b of more than STAR_MEMBERS pairs is split over tasks, each with a copy of its set.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR_MEMBERS).cast("int").alias("parts"))
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).join(parts, "b")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    split = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        split.join(left, "a")
+        .join(right, ["b", "part"])
         .withColumn("n", both)
         .where(100 * F.col("n") >= percent * (F.size("sa") + F.size("sb") - F.col("n")))
         .select("a", "b")
@@ -204,55 +208,53 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row.
+    """(doc_id, n_shingles, component_id, kept, text_key, group), one row per input row.
 
     Two texts link if 100 * intersection >= percent * union of their k-word shingle
     sets; component_id is the smallest doc_id reachable by links.  Null, empty and blank
     texts have an empty set, link with nothing and are their own component.  Rows with a
     null doc_id link with nothing and get a null component_id and kept.  Repeated rows
-    are copies of one another and each is returned.  Other columns of ``docs`` are not read.
+    are copies of one another and each is returned; different texts of one doc_id are
+    documents of their own.  Other columns of ``docs`` are not read.
+
+    text_key is a hash of the text and group numbers the component (null where the row links
+    with nothing by rule); the numbers differ from run to run.
     """
-    spark = docs.sparkSession
     bands, rows = band_shape(percent / 100, slots, miss)
     sig = checkpointed(signatures(docs, k, bands, rows, id_col, text_col))
     live = sig.where("set_key is not null and doc_id is not null")
-    classes = live.groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-    )
-    classes = checkpointed(classes)
-    entries = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    classes = live.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    #: A class has a number of its own: its smallest doc_id may be that of another class too.
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
+    entries = classes.select("id", "n", F.explode("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     shared = checkpointed(entries.join(buckets.select("key", "p"), "key"))
     #: Sizes bound the similarity: the smaller set must hold percent of the larger one.
     fits = "100 * least({0}, {1}) >= {2} * greatest({0}, {1})"
-    stars = (
-        shared.where("rep != p.rep")
-        .where(fits.format("n", "p.n", percent))
-        .select(F.col("rep").alias("a"), F.col("p.rep").alias("b"))
-        .distinct()
-    )
+    stars = shared.where("id != p.id").where(fits.format("n", "p.n", percent)).select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
     stars = checkpointed(stars)
-    hashed = set_table(docs, shared.select(F.col("rep").alias("id")).distinct(), k, id_col, text_col, classes)
+    hashed = set_table(docs, shared.select("id").distinct(), k, id_col, text_col, classes)
     links = checkpointed(_verified(stars, hashed, percent))
     comp = checkpointed(components(links))
-    grouped = shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("comp", "rep").alias("comp")
-    )
+    grouped = shared.join(comp, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
     mixed = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rest = checkpointed(shared.join(mixed, "key").select("rep", "n", F.col("p.rep").alias("pivot")).distinct())
+    rest = checkpointed(shared.join(mixed, "key").select(F.col("id").alias("rep"), "n", F.col("p.id").alias("pivot")).distinct())
     if not rest.isEmpty():
         more = checkpointed(_between_blocks(rest, hashed, percent))
         comp = checkpointed(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)))
-    of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("comp", "rep").alias("component_id")
+    placed = classes.join(comp, "id", "left").select("set_key", "rep", F.coalesce("comp", "id").alias("group"))
+    least = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
+    of_class = placed.join(least, "group").select("set_key", "group", "component_id")
+    out = sig.select("doc_id", "n_shingles", "set_key", "text_key").join(of_class, "set_key", "left")
+    known = F.col("doc_id").isNotNull()
+    own = F.when(known, F.coalesce("component_id", "doc_id"))
+    return out.select(
+        "doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"), "text_key", F.when(known, F.col("group")).alias("group")
     )
-    out = sig.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
 def set_table(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str, classes: DataFrame) -> DataFrame:
-    """(id, s): the full shingle sets of the listed class representatives.
+    """(id, s): the full shingle sets of the listed classes.
 
     Only the texts of classes that share a bucket are hashed again; ``classes`` gives the
     set key to pick the right row where a doc_id is repeated.
@@ -260,20 +262,18 @@ def set_table(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                sets = [to_long(shingle_hashes(t, k)) for t in part["text"]]
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                good = [x == y for x, y in zip(keys, part["set_key"])]
-                yield pd.DataFrame({"id": part["id"].values, "s": sets})[good]
-        release()
-
-    wanted = classes.select(F.col("rep").alias("id"), "set_key").join(ids, "id", "left_semi")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = src.join(wanted, "id").mapInPandas(run, "id long, s array<long>")
+            sets = [to_long(shingle_hashes(t, k)) for t in pdf["text"]]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            good = [x == y for x, y in zip(keys, pdf["set_key"])]
+            yield pd.DataFrame({"id": pdf["id"], "s": sets})[good]
+
+    wanted = classes.select("id", F.col("rep").alias("doc"), "set_key").join(ids, "id", "left_semi")
+    src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    found = map_rows(src.join(wanted, "doc").drop("doc"), run, "id long, s array<long>", ids=("id",), rows=512)
     return checkpointed(found.groupBy("id").agg(F.first("s").alias("s")))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` at three words and a similarity of 0.85."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
