@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import CACHES, map_rows
+
 DIM = 1024
 ORDER = 3
 #: n-gram vectors kept by a task; others are bound again when they occur.
@@ -26,17 +28,10 @@ _SEED = 0x5EED
 
 
 class Letters:
-    """Letter classes by code point: 0 ends a word, others are the letter's code."""
+    """Letters by code point (Unicode's L categories): 0 ends a word, others are the letter's code."""
 
     def __init__(self) -> None:
-        codes = np.zeros(0x110000, np.uint32)
-        for lo, hi in ((0x41, 0x3400), (0xA000, 0xD7A4), (0xF900, 0xFFFF), (0x10000, 0x20000)):
-            for c in range(lo, hi):
-                if unicodedata.category(chr(c))[0] == "L":
-                    codes[c] = c
-        for lo, hi in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0x20000, 0x323B0)):
-            codes[lo:hi] = np.arange(lo, hi)
-        self.codes = codes
+        self.codes = np.fromiter((c if unicodedata.category(chr(c))[0] == "L" else 0 for c in range(0x110000)), np.uint32, 0x110000)
 
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams (ORDER code points of 21 bits in a uint64) of the lower-cased text, and their counts."""
@@ -54,6 +49,13 @@ class Letters:
         return np.unique(g, return_counts=True)
 
 
+def letters_of_worker() -> Letters:
+    """The worker's table of letters, kept from task to task."""
+    if "letters" not in CACHES:
+        CACHES["letters"] = Letters()
+    return CACHES["letters"]
+
+
 class Space:
     """Bound n-gram vectors, made on demand and cached up to a bound."""
 
@@ -107,7 +109,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
     """Languages (sorted) and their unit prototypes, from rows with a text and a language."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters = Letters()
+        letters = letters_of_worker()
         for pdf in batches:
             out = []
             for lang, texts in pdf.groupby("lang")["text"]:
@@ -118,7 +120,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
             yield pd.concat(out) if out else pd.DataFrame({"lang": [], "gram": [], "n": []})
 
     src = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = src.dropna().mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_rows(src.dropna(), count, "lang string, gram long, n long", ids=(), keep=("letters",)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, sums = Space(), {}
@@ -129,7 +131,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": list(sums.values())})
 
-    parts = counts.mapInPandas(bundle, "lang string, v array<double>")
+    parts = map_rows(counts, bundle, "lang string, v array<double>", ids=(), keep=("letters",), rows=1 << 16)
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
@@ -143,12 +145,13 @@ def identify(docs: DataFrame, langs: list[str], proto: np.ndarray, id_col: str =
     """(doc_id, lang_pred, score): the nearest prototype and its cosine, cut to 0..1.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text if no
-    language was learned.  Of equal cosines the alphabetically first language wins.
+    language was learned.  Of equal cosines the alphabetically first language wins.  Null
+    doc_ids keep their null; repeated rows are identified each.  Other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast((langs, proto.T.astype(np.float64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters, space = Letters(), Space()
+        letters, space = letters_of_worker(), Space()
         langs, proto = model.value
         for pdf in batches:
             pred, score = ["und"] * len(pdf), [0.0] * len(pdf)
@@ -163,12 +166,15 @@ def identify(docs: DataFrame, langs: list[str], proto: np.ndarray, id_col: str =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": pred, "score": score})
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return map_rows(src, run, "doc_id long, lang_pred string, score double", keep=("letters",))
 
 
 def op6_hdc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of ``documents``; the fold crc32(doc_id) mod 5 = 0 teaches nothing."""
+    """Every whole text of ``documents``; the fold crc32(doc_id) mod 5 = 0 teaches nothing.
+
+    A row without a doc_id has no fold: it counts as held out.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(True))
     langs, proto = learn(docs.where(~held_out))
     return identify(docs, langs, proto).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
