@@ -12,20 +12,21 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+from .textkit import release
+
+#: Elements whose content is no text of the page.
+_HIDDEN = frozenset("script style noscript template textarea title iframe svg select object".split())
+_CLOSES = {tag: re.compile(f"</{tag}\\s*>", re.IGNORECASE) for tag in _HIDDEN}
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 
@@ -36,22 +37,73 @@ _INLINE = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that ends an open element of these kinds.
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-_MAX_DEPTH = 256
 
 
 class Block:
-    __slots__ = ("linked", "path", "text")
+    """A leaf block: its text, how much of it is linked, and what its ancestors are."""
+
+    __slots__ = ("inside", "inner_header", "linked", "marks", "own", "text")
+
+    def __init__(self, text: str, at: tuple, linked: int) -> None:
+        self.text, self.linked = text, linked
+        self.own, self.marks, self.inside, self.inner_header = at
 
-    def __init__(self, text: str, path: tuple[tuple[str, tuple[str, ...]], ...], linked: int) -> None:
-        self.text, self.path, self.linked = text, path, linked
 
+def pieces_of(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag, closing, attributes) of a page in one forward scan; the last piece has no tag.
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; scripts, styles, comments, titles and markup give no text."""
+    Comments and declarations have no tag either, elements without text come as " ".  A > inside a
+    quoted attribute does not end a tag; after a quote that is never closed, quotes mean nothing in the rest of
+    the page, so no stretch is scanned more than twice.
+    """
+    at = pos = 0
+    quotes = True
+    while (pos := page.find("<", pos)) >= 0:
+        if page.startswith(("<!", "<?"), pos):
+            end, skip = (page.find("-->", pos + 4), 3) if page.startswith("<!--", pos) else (page.find(">", pos), 1)
+            if end < 0:
+                if skip == 1:
+                    break
+                end = len(page)
+            yield page[at:pos], "", False, ""
+            at = pos = end + skip
+            continue
+        m = _OPEN.match(page, pos)
+        if not m:
+            pos += 1
+            continue
+        end = m.end()
+        while quotes and (c := _MARK.search(page, end)) and c[0] != ">":
+            end = page.find(c[0], c.end()) + 1
+            if not end:
+                quotes = False
+        end = page.find(">", m.end()) if not quotes else c.start() if c else -1
+        if end < 0:
+            break
+        tag, closing = m[2].lower(), bool(m[1])
+        before, attrs = page[at:pos], page[m.end() : end]
+        at = pos = end + 1
+        if tag in _HIDDEN and not closing:
+            close = _CLOSES[tag].search(page, pos)
+            at = pos = close.end() if close else len(page)
+            yield before, " ", False, ""
+        else:
+            yield before, tag, closing, attrs
+    yield page[at:], "", False, ""
+
+
+def blocks(page: str | None, known: Mapping[str, object] | None = None) -> list[Block]:
+    """Leaf blocks in page order; scripts, styles, comments, titles and markup give no text.
+
+    Marks are the tags and names of all ancestors (those in ``known`` only, if it is given).  A block shares them with
+    its parent where it adds none, so deep pages cost no more than their length.
+    """
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = ("-", frozenset(), False, False)
+    stack: list[tuple] = [root]
+    open_tags: Counter = Counter()
     parts: list[str] = []
     linked = links = 0
 
@@ -60,24 +112,23 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(stack), linked))
+                out.append(Block(text, stack[-1], linked))
             parts.clear()
         linked = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            chunk = page[at : m.start()]
-            parts.append(chunk)
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
+
+    for before, tag, closing, attrs in pieces_of(page):
+        if before:
+            parts.append(before)
             if links:
-                linked += len(chunk)
-        at = m.end()
-        tag = m[3] or m[6]
-        if not tag:
-            if m[1]:
-                parts.append(" ")
+                linked += len(before)
+        if tag in ("", " "):
+            parts.append(tag)
             continue
-        tag, closing = tag.lower(), bool(m[2] or m[5])
         if tag in _INLINE:
             if tag == "br":
                 parts.append(" ")
@@ -88,19 +139,25 @@ def blocks(page: str | None) -> list[Block]:
         links = 0
         if tag in _VOID:
             continue
-        names = [t for t, _ in stack]
         if closing:
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if open_tags[tag] > 0:
+                while pop() != tag:
+                    pass
             continue
         ends = _ENDS.get(tag, {"p"})
-        while stack and stack[-1][0] in ends:
-            stack.pop()
-        attrs = m[4] if m[3] else m[7]
-        marks = tuple(n for a in _ATTR.findall(attrs or "") for n in _NAME.findall("".join(a).lower()))
-        if len(stack) < _MAX_DEPTH and not (attrs or "").rstrip().endswith("/"):
-            stack.append((tag, marks))
-    parts.append(page[at:])
+        while stack[-1][0] in ends:
+            pop()
+        if attrs.rstrip().endswith("/"):
+            continue
+        names = {"t:" + tag} | {"c:" + n for a in _ATTR.findall(attrs) for n in _NAME.findall("".join(a).lower())}
+        _, marks, inside, inner_header = stack[-1]
+        new = {n for n in names if n not in marks and (known is None or n in known)}
+        marks = marks | new if new else marks
+        within = inside or tag in ("article", "main")
+        #: A header of the article: both are among the ancestors, in either order.
+        header = inner_header or (tag == "header" and inside) or (within and not inside and open_tags["header"] > 0)
+        stack.append((tag, marks, within, header))
+        open_tags[tag] += 1
     flush()
     return out
 
@@ -108,13 +165,8 @@ def blocks(page: str | None) -> list[Block]:
 def block_features(page: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(page):
-        tags = [t for t, _ in b.path]
-        fs = {"bias"} | {"t:" + t for t in tags} | {"c:" + n for _, marks in b.path for n in marks}
-        own = tags[-1] if tags else "-"
-        fs.add("own:" + own)
-        inside = "article" in tags or "main" in tags
-        fs.add(f"inside:{inside}")
-        if inside and "header" in tags:
+        fs = {"bias", "own:" + b.own, f"inside:{b.inside}"} | b.marks
+        if b.inner_header:
             fs.add("inner-header")
         n = len(b.text)
         fs.add(f"linked:{min(4, b.linked * 4 // max(1, n))}")
@@ -311,7 +363,7 @@ def train(n: int = 1500, seed: int = 17) -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page)
+    found = blocks(page, chain.weights)
     return "\n".join(b.text for b, y in zip(found, chain.decode(block_features(found))) if y)
 
 
@@ -325,8 +377,11 @@ def extract(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id
     model = pages.sparkSession.sparkContext.broadcast(chain or train())
 
     @F.pandas_udf("string")
-    def text(html: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, model.value) for h in html], dtype=object)
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
+        for html in batches:
+            yield pd.Series([main_text(h, model.value) for h in html], dtype=object)
+        release()
 
     out = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text(F.col(html_col).cast("string")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
