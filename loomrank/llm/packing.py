@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import checkpointed
-from .textkit import CACHES, release
+from .textkit import CACHES, map_rows
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -39,8 +39,10 @@ OFFSPRING = 6
 #: Bins with more waste than this share go back into the pool of the next round.
 LOOSE = 0.01
 ROUNDS = 3
-#: Distinct white-space-delimited strings whose ids a worker keeps.
-_CACHE = 400_000
+#: Bytes that a worker's cache of encoded strings may take, as counted by ``_COST``.
+CACHE_BYTES = 72 << 20
+#: Bytes of a cached string besides its characters and ids: the object, its place in the dictionary, its number.
+_COST = 180
 
 
 class _Numbered(defaultdict):
@@ -69,8 +71,26 @@ def _gather(values: np.ndarray, starts: np.ndarray, picked: np.ndarray) -> tuple
     return values[at], size
 
 
+class _Ids:
+    """Growing lists of ids; the arrays double, so that adding is linear."""
+
+    def __init__(self) -> None:
+        self.ids, self.at = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.n = self.lists = 0
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Further lists: their ids, and where each ends in them."""
+        while self.n + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.lists + len(ends) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.empty_like(self.at)])
+        self.ids[self.n : self.n + len(ids)] = ids
+        self.at[self.lists + 1 : self.lists + 1 + len(ends)] = self.n + ends
+        self.n, self.lists = self.n + len(ids), self.lists + len(ends)
+
+
 class Encoder:
-    """Token ids of whole texts, equal to the tokenizer's own, with a bounded cache.
+    """Token ids of whole texts, equal to the tokenizer's own, with a cache of bounded size.
 
     The tokenizer normalises (NFC, white space, lower case), drops white space, splits by a
     pattern and encodes each part on its own, so what stands between white space can be
@@ -78,7 +98,8 @@ class Encoder:
     to the tokenizer and its last token alone carries the word-end mark.  They are normalised
     and split already, so the model alone encodes their bytes.  This is done only
     for texts in which Python's and the tokenizer's Unicode tables cannot differ (no
-    character from U+0250, no odd control); any other text goes to the tokenizer whole.
+    character from U+0250, no odd control) and that name no special token; any other text
+    goes to the tokenizer whole.
     """
 
     _odd = re.compile("[^\t-\r -ɏ]")
@@ -91,18 +112,18 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tok.encode_special_tokens = True
         self.of_parts = Tokenizer(self.tok.model)
         self.of_parts.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = tuple(t.content.lower() for t in self.tok.get_added_tokens_decoder().values())
         self._reset()
 
     def _reset(self) -> None:
         self.chunks, self.parts = _Numbered(), _Numbered()
-        self.chunk_ids, self.chunk_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
-        self.part_ids, self.part_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.of_chunk, self.of_part = _Ids(), _Ids()
+        self.held = 0
 
     def _learn(self, chunks: list[str]) -> None:
         """Ids of the chunks, and of the parts in them, that were met for the first time."""
@@ -116,30 +137,29 @@ class Encoder:
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(new):
                 raise AssertionError("a part was not encoded as one word")
-            self.part_at = np.append(self.part_at, self.part_at[-1] + ends)
-            self.part_ids = np.append(self.part_ids, ids)
-        ids, size = _gather(self.part_ids, self.part_at, parts)
-        stops = np.append(0, np.cumsum(size))[np.cumsum(sizes)]
-        self.chunk_at = np.append(self.chunk_at, self.chunk_at[-1] + stops)
-        self.chunk_ids = np.append(self.chunk_ids, ids)
-
-    def encode(self, texts: list[str | None], batch: int = 512) -> Iterator[np.ndarray]:
+            self.of_part.add(ids, ends)
+        ids, size = _gather(self.of_part.ids, self.of_part.at, parts)
+        self.of_chunk.add(ids, np.append(0, np.cumsum(size))[np.cumsum(sizes)])
+        self.held += sum(map(len, chunks)) + sum(map(len, new)) + _COST * (len(chunks) + len(new)) + 4 * len(ids)
+
+    def encode(self, texts: list[str | None], batch: int = 256) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order; null is empty."""
         for lo in range(0, len(texts), batch):
             part = [t or "" for t in texts[lo : lo + batch]]
-            if len(self.chunks) > _CACHE:
+            if self.held > CACHE_BYTES:
                 self._reset()
-            odd = [bool(self._odd.search(t)) for t in part]
-            split = [[] if o else t.lower().split() for t, o in zip(part, odd)]
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            found = self.chunks.numbers(split, sizes)
+            low = [None if self._odd.search(t) else t.lower() for t in part]
+            split = [t.split() if t is not None and not any(s in t for s in self.special) else None for t in low]
+            del low
+            sizes = np.fromiter((len(s or ()) for s in split), np.int64, len(split))
+            found = self.chunks.numbers([s or [] for s in split], sizes)
             new = self.chunks.unseen()
             if new:
                 self._learn(new)
-            ids, size = _gather(self.chunk_ids, self.chunk_at, found)
+            ids, size = _gather(self.of_chunk.ids, self.of_chunk.at, found)
             cuts = np.append(0, np.append(0, np.cumsum(size))[np.cumsum(sizes)]).tolist()
             for i, t in enumerate(part):
-                if odd[i]:
+                if split[i] is None:
                     yield np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
                 else:
                     yield ids[cuts[i] : cuts[i + 1]]
@@ -159,17 +179,16 @@ def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFr
         encoder = encoder_of()
         for pdf in batches:
             out = []
-            for doc, ids in zip(pdf["doc_id"], encoder.encode(pdf["text"].tolist())):
+            for doc, ids in enumerate(encoder.encode(pdf["text"].tolist())):
                 ids = np.append(ids, np.uint32(0)).astype("<u4", copy=False)
                 for i, start in enumerate(range(0, len(ids), capacity)):
                     cut = ids[start : start + capacity]
                     out.append((doc, i, start, len(cut), zlib.crc32(cut.tobytes())))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
-        release(TOKENIZER)
+            at, piece, start, length, crc = np.array(out, np.int64).reshape(-1, 5).T
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array.take(at), "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = map_rows(src, run, "doc_id long, piece int, start long, length long, ids_crc32 long", keep=(TOKENIZER,), rows=1024)
     return out.withColumn("uid", F.monotonically_increasing_id())
 
 
