@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import release
+from .components import checkpointed
+from .textkit import map_rows, release
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ADDRESSED = re.compile(r"\b(?:you|du|tu|vous|eres|sie)\b[^.!?\n]{0,24}!")
@@ -39,10 +40,11 @@ LEXICONS = {
 #: Lengths of word starts, and over how many voters each mined list is dealt.
 STARTS = (4, 5, 6)
 DEALT = 3
+#: Labelled rows, and documents to train on, that the models are fitted on (smallest hashes of doc_id).
 MAX_LABELLED = 20_000
 MAX_TRAIN = 12_000
-MAX_FEATURES = 20_000
-MAX_MINED = 1_500
+#: Labelled rows of the label that a mined feature must explain.
+LEAST_ROWS = 3
 #: A feature marks the label if this share of its rows carries it, by the lower bound at 95 %.
 LEAST_PRECISION = 0.5
 
@@ -67,7 +69,7 @@ def precision_bound(p, q, sqrt=np.sqrt, z: float = 1.96):
 
 
 def _mine(sample: DataFrame) -> dict[str, int]:
-    """Features that mark the label: {feature: voter list number}."""
+    """Features that mark the label: {feature: voter list number}; ``sample`` has at most MAX_LABELLED rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -75,27 +77,26 @@ def _mine(sample: DataFrame) -> dict[str, int]:
             for text, y in zip(pdf["text"], pdf["toxic"]):
                 (pos if y else neg).update(features(text))
             keys = list(pos.keys() | neg.keys())
-            yield pd.DataFrame({"f": keys, "p": [pos[k] for k in keys], "q": [neg[k] for k in keys]}).astype({"f": str})
-        release()
+            yield pd.DataFrame({"f": pd.Series(keys, dtype=object), "p": [pos[k] for k in keys], "q": [neg[k] for k in keys]})
 
-    counts = sample.mapInPandas(run, "f string, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = map_rows(sample, run, "f string, p long, q long", ids=()).groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     precise = precision_bound(F.col("p"), F.col("q"), F.sqrt)
-    ranked = counts.where("f != ''").withColumn("z", precise * F.sqrt("p")).where(precise >= LEAST_PRECISION)
-    top = [r["f"] for r in ranked.orderBy(F.desc("z"), "f").limit(MAX_MINED).collect()]
+    ranked = counts.where(f"f != '' and p >= {LEAST_ROWS}").withColumn("z", precise * F.sqrt("p")).where(precise >= LEAST_PRECISION)
+    top = [r["f"] for r in ranked.orderBy(F.desc("z"), "f").collect()]
     place = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(top)})
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [[place.value[f] for f in features(t) & place.value.keys()] for t in pdf["text"][pdf["toxic"] == 1]]
+            found = [sorted(place.value[f] for f in features(t) & place.value.keys()) for t in pdf["text"]]
             yield pd.DataFrame({"marks": found})
 
-    held = [r["marks"] for r in sample.mapInPandas(marks, "marks array<int>").collect()]
+    held = [r["marks"] for r in map_rows(sample.where("toxic = 1"), marks, "marks array<int>", ids=()).collect()]
     kinds = "w" + "".join(map(str, STARTS))
-    chosen = [top[i] for kind in kinds for i in cover([[i for i in m if top[i][0] == kind] for m in held])]
+    chosen = [top[i] for kind in kinds for i in cover([[i for i in m if top[i][0] == kind] for m in held], LEAST_ROWS)]
     return {f: kinds.index(f[0]) * DEALT + zlib.crc32(f.encode()) % DEALT for f in chosen}
 
 
-def cover(rows: list[list[int]], least: int = 3) -> list[int]:
+def cover(rows: list[list[int]], least: int = LEAST_ROWS) -> list[int]:
     """Greedy cover: the marks that explain the most rows that no earlier mark explains.
 
     Copies of one labelled text share all of its words; once a real mark explains them,
@@ -216,7 +217,7 @@ def fit_linear(rows: list[list[str]], y: np.ndarray, l1: float = 1e-5, rounds: i
     bias = math.log(base / (1 - base))
     bound = {f: precision_bound(mass[f], n - mass[f]) for f, n in df.items()}
     strong = [f for f, v in bound.items() if v >= LEAST_PRECISION]
-    names = sorted(strong, key=lambda f: (-bound[f] * math.sqrt(df[f]), f))[:MAX_FEATURES]
+    names = sorted(strong, key=lambda f: (-bound[f] * math.sqrt(df[f]), f))
     at = {f: i for i, f in enumerate(names)}
     cols = [np.array([at[f] for f in fs if f in at], dtype=np.int32) for fs in rows]
     idx = np.concatenate(cols) if cols else np.empty(0, np.int32)
@@ -249,48 +250,42 @@ def fit_linear(rows: list[list[str]], y: np.ndarray, l1: float = 1e-5, rounds: i
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     """The linear model, from labels outside the held-out fold.
 
-    Mined lists are fitted on at most MAX_LABELLED labelled rows and the classifier on at
+    Mined lists are fitted on at most MAX_LABELLED labelled documents and the classifier on at
     most MAX_TRAIN documents (smallest hashes of doc_id); vote patterns count all documents.
+    Of several texts of one sampled doc_id the smallest is taken; rows without a doc_id are
+    in no fold and only counted.
     """
     spark = docs.sparkSession
-    known = labels.where((_fold() != 2) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sampled = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    known = labels.where((_fold() != 2) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    #: Bounded by MAX_LABELLED and MAX_TRAIN rows.
+    sampled = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sampled = sampled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    ids = {r[0]: r[1] for r in sampled.collect()}
-    shared = spark.sparkContext.broadcast(ids)
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            toxic = pdf["doc_id"].map(shared.value)
-            yield pd.DataFrame({"text": pdf["text"], "toxic": toxic})[toxic.notna()].astype({"toxic": "int"})
-
-    mined = _mine(text.mapInPandas(pick, "text string, toxic int"))
+    ids = text.where((_fold() != 2) & F.col("text").isNotNull()).select("doc_id").distinct()
+    train = checkpointed(ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(MAX_TRAIN))
+    sample = text.join(F.broadcast(sampled), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).drop("doc_id")
+    mined = _mine(checkpointed(sample))
     voters = Voters(mined)
-    train = text.where((_fold() != 2) & F.col("text").isNotNull()).select("doc_id").distinct()
-    chosen = frozenset(r[0] for r in train.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(MAX_TRAIN).collect())
     marks = frozenset(mined) | {"w" + w for lexicon in voters.fixed for w in lexicon}
-    frozen = spark.sparkContext.broadcast((voters, chosen, ids, marks))
+    frozen = spark.sparkContext.broadcast((voters, marks))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voters, chosen, ids, marks = frozen.value
+        voters, marks = frozen.value
         for pdf in batches:
-            tally: Counter = Counter()
-            out = []
-            for doc, t in zip(pdf["doc_id"].tolist(), pdf["text"]):
+            bits, shown = [], []
+            for t, chosen in zip(pdf["text"], pdf["chosen"]):
                 fs = features(t)
-                bits = voters.pattern(t, fs)
-                tally[bits, ids.get(doc, -1)] += 1
-                if doc in chosen:
-                    out.append((bits, -2, 1, " ".join(sorted(fs & marks))))
-            out += [(b, y, n, None) for (b, y), n in tally.items()]
-            yield pd.DataFrame(out, columns=["bits", "y", "n", "fs"])
-        release()
-
-    got = text.mapInPandas(vote, "bits long, y int, n long, fs string").persist()
-    tallied = got.where("y > -2").groupBy("bits", "y").agg(F.sum("n").alias("n")).collect()
-    rows = got.where("y = -2").select("bits", "fs").collect()
-    got.unpersist()
+                bits.append(voters.pattern(t, fs))
+                shown.append(" ".join(sorted(fs & marks)) if chosen else None)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "bits": bits, "fs": pd.Series(shown, dtype=object)})
+
+    rows = text.join(F.broadcast(sampled), "doc_id", "left").join(F.broadcast(train.withColumn("chosen", F.lit(True))), "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.coalesce("toxic", F.lit(-1)).alias("y"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    voted = map_rows(rows, vote, "doc_id long, y int, bits long, fs string")
+    #: One row for each pattern and label, and one for each sampled document.
+    got = voted.groupBy("bits", "y", F.when(F.col("fs").isNotNull(), F.col("doc_id")).alias("doc_id")).agg(F.count("*").alias("n"), F.min("fs").alias("fs"))
+    got = checkpointed(got)
+    tallied = got.groupBy("bits", "y").agg(F.sum("n").alias("n")).collect()
+    rows = got.where("fs is not null").groupBy("doc_id").agg(F.min(F.struct("fs", "bits")).alias("x")).select("x.*").collect()
     patterns = sorted({r["bits"] for r in tallied})
     place = {b: i for i, b in enumerate(patterns)}
     counts, clamped = np.zeros(len(patterns)), np.zeros((len(patterns), 2))
@@ -300,6 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
         else:
             clamped[place[r["bits"]], r["y"]] += r["n"]
     post = fit_label_model(np.array(patterns, dtype=np.int64), counts, clamped, voters.n) if patterns else np.empty(0)
+    rows.sort()
     y = np.array([post[place[r["bits"]]] for r in rows], dtype=float)
     return fit_linear([r["fs"].split(" ") if r["fs"] else [] for r in rows], y)
 
@@ -310,24 +306,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     A null or empty text has no features and gets the model's base rate.  Labels that are
     null or neither 0 nor 1 teach nothing; of several labels of a doc_id the highest
     counts.  Without any labels the voters' agreement alone teaches.  Existing columns
-    named score or predicted are replaced.
+    named score or predicted are replaced.  Rows without a doc_id and repeated rows are
+    scored each.
     """
     weights, bias = learn(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         weights, bias = model.value
         keys = weights.keys()
-        z = [bias + sum(weights[f] for f in keys & features(t)) for t in texts]
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        for texts in batches:
+            z = [bias + sum(weights[f] for f in sorted(keys & features(t))) for t in texts]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))), dtype="float64")
+        release()
 
     out = docs.drop("score", "predicted").withColumn("score", score(F.col("text").cast("string")))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of ``documents``; folds by crc32 of doc_id."""
+    """Every whole text of ``documents``; folds by crc32 of doc_id, a row without one counts as held out."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    held_out = F.coalesce(_fold() == 2, F.lit(False))
+    held_out = F.coalesce(_fold() == 2, F.lit(True))
     return score_toxicity(docs.select("doc_id", "text"), labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
