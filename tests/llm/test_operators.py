@@ -36,9 +36,11 @@ def near_texts():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7), (100, 101), (None, 3)]
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+    edges = [(i, i + 1) for i in range(1, 12)] + [(100, 101), (101, 102), (7, 7), (100, 101), (None, 3)] + [(1000, 1001 + i) for i in range(300)] + [(2**53 + 1, 2**53 + 3)]
+    want = {**{i: 1 for i in range(1, 13)}, 100: 100, 101: 100, 102: 100, **{1000 + i: 1000 for i in range(301)}, 2**53 + 1: 2**53 + 1, 2**53 + 3: 2**53 + 1}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for one_task in (100_000, 0):
+        assert dict(map(tuple, components(df, one_task=one_task).collect())) == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
