@@ -162,11 +162,60 @@ def test_language_model_contexts(spark):
         assert got[right] > got[wrong] + 0.1
 
 
-def test_seating_bounds():
+def test_seating():
+    """Tables drawn by jumps are distributed as those of customers who enter one by one."""
     rng = np.random.default_rng(0)
-    c = np.array([1, 2, 50, 5000.0])
-    t = hpylm.seat(c, np.full(4, 0.01), np.full(4, 20.0), 0.5, rng)
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1
+    n = 20_000
+    for customers, new, discount in ((30, 0.7, 0.8), (60, 5.0, 0.5), (12, 1e-4, 0.7)):
+        h = rng.integers(0, 2**63, n).astype(np.uint64)
+        t = hpylm.seat(np.full(n, float(customers)), np.full(n, new), discount, h, 3)
+        one = np.ones(n)
+        for i in range(1, customers):
+            one += rng.random(n) < new / (new + i - discount * one)
+        assert t.mean() == pytest.approx(one.mean(), rel=0.02) and t.std() == pytest.approx(one.std(), rel=0.05, abs=0.01)
+    c = np.array([0, 1, 2, 50, 5e6])
+    t = hpylm.seat(c, np.array([1.0, 1.0, 0.01, 20.0, 3.0]), 0.5, h[:5], 0)
+    assert (t <= c).all() and (t[1:] >= 1).all() and t[:2].tolist() == [0, 1]
+
+
+def test_predictions_sum_to_one():
+    """Over the vocabulary and one unknown word, in seen and unseen contexts, after any number of sweeps."""
+    rng = np.random.default_rng(4)
+    vocabulary = 12
+    text = rng.integers(0, vocabulary, 400)
+    seen = Counter(zip(text[1:], text[:-1], text[2:]))
+    rows = sorted((v, u, w) for v in range(vocabulary + 1) for u in range(vocabulary + 1) for w in range(vocabulary + 1))
+    v, u, w = np.array(rows).T
+    c = np.array([seen.get(r, 0) for r in rows])
+    hashes = [hpylm.mix64(x.astype(np.uint64) + np.uint64(7)) for x in (v, u, w)]
+    for piece in (np.zeros(len(v), np.int64), u % 2):
+        r = hpylm.Restaurants(v, u, w, c, piece, hashes)
+        p0 = np.arange(1.0, vocabulary + 2)
+        p0 /= p0.sum()
+        for k in range(4):
+            a, b = r.linear()
+            total = np.bincount(v * (vocabulary + 1) + u, weights=a + b * p0[w])
+            assert total == pytest.approx(1.0, abs=1e-12)
+            assert (r.t2 <= r.c).all() and (r.t1 <= r.c1).all() and ((r.t2 > 0) == (r.c > 0)).all()
+            r.sweep(p0[r.w], k)
+
+
+def test_language_model_layout(spark):
+    """Scores do not depend on partitions, parts or the size of the code book's rest."""
+    rng = np.random.default_rng(5)
+    texts = [(2**53 + i if i % 9 == 0 else i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) % 200)) for i in range(80)]
+    texts += [(None, "w1 w2 w3"), (2**53 + 1, None), (90, texts[3][1])]
+    docs = frame(spark, texts)
+    key = lambda r: (r["doc_id"] or -1, r["n_tokens"], r["base_score"])
+    runs = [sorted(hpylm.score_texts(docs.repartition(n).cache(), part_tokens=p).collect(), key=key) for n, p in ((2, 10**6), (7, 10**6), (4, 2000))]
+    assert [r["doc_id"] for r in runs[0]] == [r["doc_id"] for r in runs[1]] and 2**53 + 1 in {r["doc_id"] for r in runs[0]}
+    assert [r["score"] for r in runs[0]] == pytest.approx([r["score"] for r in runs[1]], rel=1e-12)
+    assert [r["n_known"] for r in runs[0]] == [r["n_known"] for r in runs[2]]
+    small = sorted(hpylm.score_texts(docs.repartition(3).cache(), book=20).collect(), key=key)
+    for a, b in zip(runs[0], small):
+        assert (a["n_known"], a["n_tokens"]) == (b["n_known"], b["n_tokens"]) and a["base_score"] == pytest.approx(b["base_score"], rel=1e-12)
+        assert a["score"] == pytest.approx(b["score"], rel=0.05)
+    assert hpylm.score_texts(frame(spark, [])).count() == 0
 
 
 def test_secrets(spark):
