@@ -264,7 +264,7 @@ PROMPTS = {
 }
 
 #: Ordered rewrites from catalogue formulas to SQL expressions.
-FORMULA_RULES = ((r"\s*<>\s*", " != "), (r"(?i)\bAND\b", " and "), (r"(?i)\bOR\b", " or "), (r"(?i)\bNOT\b", " not "), (r"\^", " ** "), (r"\$(\w+)", "$1"), (r"\s+", " "))
+FORMULA_RULES = ((r"\s*<>\s*", " != "), (r"(?i)\bAND\b", " and "), (r"(?i)\bOR\b", " or "), (r"(?i)\bNOT\b", " not "), (r"([\w.$]+|\([^()]*\))\s*\^\s*([\w.$]+|\([^()]*\))", "power($1, $2)"), (r"\$(\w+)", "$1"), (r"\s+", " "))
 
 
 def formula_to_sql(c: Column | str) -> Column:

@@ -23,13 +23,10 @@ def groups_of(rows: DataFrame, key: str) -> DataFrame:
 
 def collision_ceiling(signatures: DataFrame) -> DataFrame:
     """Best reachable accuracy at one if documents of one signature cannot be told apart."""
-    n = F.count("*").over(W.partitionBy("signature"))
-    rows = signatures.withColumn("n", n)
-    return rows.agg(
-        F.count("*").alias("docs"),
-        F.sum((F.col("n") > 1).cast("long")).alias("affected"),
-        F.round(F.avg(1 / F.col("n")), 6).alias("ceiling"),
-    )
+    sizes = signatures.groupBy("signature").agg(F.count("*").alias("n"))
+    docs = F.sum("n")
+    affected = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    return sizes.agg(docs.alias("docs"), affected.alias("affected"), F.round(F.count("*") / docs, 6).alias("ceiling"))
 
 
 def hash_order(key: Column | str, seed: str) -> Column:

@@ -1,8 +1,7 @@
 """Two-level metrics, rank analytics, and paired statistics over runs.
 
 ``gold`` is (query_id, gold_id, gold_parent); ``parents`` is (doc_id, parent).  A run that
-lacks a query's answers never shrinks the query set: denominators come from ``gold``
-unless ``answered_only``.
+lacks a query's answers never shrinks the query set: denominators come from ``gold``.
 """
 
 from __future__ import annotations
@@ -87,8 +86,11 @@ def rank_bucket(rank: Column | str) -> Column:
 
 
 def rank_cdf(ranks: DataFrame, by: str, rank: str) -> DataFrame:
-    rows = ranks.where(F.col(rank).isNotNull()).withColumn("cdf", F.round(F.cume_dist().over(W.partitionBy(by).orderBy(rank)), 6))
-    return rows.select(by, F.col(rank).alias("rank"), "cdf").distinct()
+    """(by, rank, cdf): queries are counted by rank first, so the window holds one row a rank."""
+    counts = ranks.where(F.col(rank).isNotNull()).groupBy(by, F.col(rank).alias("rank")).agg(F.count("*").alias("n"))
+    all_of = W.partitionBy(by)
+    below = F.sum("n").over(all_of.orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    return counts.select(by, "rank", F.round(below / F.sum("n").over(all_of), 6).alias("cdf"))
 
 
 def success_overlap(hits: DataFrame) -> DataFrame:
@@ -131,32 +133,31 @@ def benjamini_hochberg(p: DataFrame) -> DataFrame:
     return raw.select("name", "p", F.round(F.least(run, F.lit(1.0)), 9).alias("p_bh"))
 
 
-def bootstrap(diffs: DataFrame, draws: int = 2000, seed: int = 13) -> DataFrame:
-    """Paired bootstrap of per-query differences in {-1, 0, 1} (column d), grouped by pair.
+def bootstrap(diffs: DataFrame, draws: int = 10_000, seed: int = 13) -> DataFrame:
+    """Paired bootstrap of per-query differences (column d, any real numbers), grouped by pair.
 
-    Resampled means depend on the three counts alone, so each draw is a multinomial over
-    them, in a vectorised task per pair; two_sided is the centred test, one_sided the
-    share of draws at or below zero with one added to both sides.
+    Equal differences are counted first, and a resample is a multinomial draw of those counts,
+    so a pair's task holds its distinct differences and not its queries.  two_sided is the centred
+    test, one_sided the share of draws at or below zero with one added to both sides.
     """
     import numpy as np
     import pandas as pd
 
-    cells = diffs.groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"), F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("down"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                rng = np.random.default_rng([seed, *r.pair.encode()])
-                k = rng.multinomial(r.n, [r.up / r.n, r.down / r.n, (r.n - r.up - r.down) / r.n], size=draws)
-                means, diff = (k[:, 0] - k[:, 1]) / r.n, (r.up - r.down) / r.n
-                two = float((np.abs(means - diff) >= abs(diff)).mean())
-                one = (int((means <= 0).sum()) + 1) / (draws + 1)
-                lo, hi = np.quantile(means, [0.025, 0.975])
-                out.append((r.pair, int(r.n), diff, two, one, float(lo), float(hi)))
-            yield pd.DataFrame(out, columns=["pair", "n", "diff", "two_sided", "one_sided", "ci_low", "ci_high"])
-
-    return cells.mapInPandas(run, "pair string, n long, diff double, two_sided double, one_sided double, ci_low double, ci_high double")
+    cells = diffs.groupBy("pair", F.col("d").cast("double").alias("d")).agg(F.count("*").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("d")
+        d, n, pair = pdf["d"].to_numpy(), pdf["n"].to_numpy(), pdf["pair"].iloc[0]
+        total, rng = int(n.sum()), np.random.default_rng([seed, *pair.encode()])
+        step = max(1, 2_000_000 // len(d))
+        means = np.concatenate([rng.multinomial(total, n / total, size=min(step, draws - lo)) @ d for lo in range(0, draws, step)]) / total
+        diff = float(n @ d) / total
+        two = float((np.abs(means - diff) >= abs(diff) - 1e-12).mean())
+        one = (int((means <= 1e-12).sum()) + 1) / (draws + 1)
+        lo, hi = np.quantile(means, [0.025, 0.975])
+        return pd.DataFrame([(pair, total, diff, two, one, lo, hi)], columns=["pair", "n", "diff", "two_sided", "one_sided", "ci_low", "ci_high"])
+
+    return cells.groupBy("pair").applyInPandas(run, "pair string, n long, diff double, two_sided double, one_sided double, ci_low double, ci_high double")
 
 
 def spearman(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:

@@ -18,9 +18,16 @@ def tagged(runs: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (r.withColumn("ranker", F.lit(n)) for n, r in runs.items()))
 
 
+def _weight(weights: dict[str, float]) -> Column:
+    """The weight of a row's ranker; a ranker without one is an error."""
+    name = F.col("ranker")
+    w = F.element_at(F.create_map(*(F.lit(x) for p in weights.items() for x in p)), name)
+    return F.coalesce(w, F.raise_error(F.concat(F.lit("no weight for ranker "), F.coalesce(name, F.lit("null")))).cast("double"))
+
+
 def rrf(runs: DataFrame, weights: dict[str, float], k: int, constant: int = 60, rank_base: int = 0) -> DataFrame:
     """Reciprocal rank fusion; rank_base 0 counts the best as rank 0."""
-    w = F.element_at(F.create_map(*(F.lit(x) for p in weights.items() for x in p)), F.col("ranker"))
+    w = _weight(weights)
     scores = runs.groupBy("query_id", "doc_id").agg(F.sum(w / (constant + F.col("rank") - 1 + rank_base)).alias("score"))
     return top_k(scores, k).select("query_id", "doc_id", "rank", "score")
 
@@ -46,7 +53,7 @@ def normalize(runs: DataFrame, method: str) -> DataFrame:
 
 def fuse(normed: DataFrame, weights: dict[str, float], k: int, bonus: DataFrame | None = None) -> DataFrame:
     """Weighted sum of normalised scores (missing: 0), plus a bonus per pair where given."""
-    w = F.element_at(F.create_map(*(F.lit(x) for p in weights.items() for x in p)), F.col("ranker"))
+    w = _weight(weights)
     scores = normed.groupBy("query_id", "doc_id").agg(F.sum(w * F.col("norm")).alias("score"))
     if bonus is not None:
         scores = scores.join(bonus, ["query_id", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))

@@ -27,10 +27,15 @@ def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Dat
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, dl, term, tf); dl is the length after analysis."""
+def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, dl, term, tf), of the listed terms if any are given; dl is the length after analysis.
+
+    Terms are filtered before the aggregation, so only their occurrences are shuffled.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
     rows = rows.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(small(terms.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -66,7 +71,7 @@ def bm25_scores(qterms: DataFrame, weights: DataFrame, idf_power: int = 2, by: t
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, q_tokens: Column, q_id: str, k: int, k1: float = 1.2, b: float = 0.75, idf_power: int = 2) -> DataFrame:
     qterms = query_terms(queries, q_tokens, q_id)
-    weights = bm25_weights(postings(docs, doc_tokens), collection(docs, doc_tokens), qterms, k1, b)
+    weights = bm25_weights(postings(docs, doc_tokens, terms=qterms), collection(docs, doc_tokens), None, k1, b)
     return top_k(bm25_scores(qterms, weights, idf_power), k).select("query_id", "doc_id", "rank", "score")
 
 
@@ -75,8 +80,7 @@ def bm25_grid(docs: DataFrame, queries: DataFrame, doc_tokens: Column, q_tokens:
     spark = docs.sparkSession
     cells = F.broadcast(spark.createDataFrame(grid, "k1 double, b double"))
     qterms = query_terms(queries, q_tokens, q_id)
-    terms = small(qterms.select("term").distinct())
-    base = postings(docs, doc_tokens).join(terms, "term", "left_semi")
+    base = postings(docs, doc_tokens, terms=qterms)
     df = base.groupBy("term").agg(F.count("*").alias("df"))
     post = base.join(df, "term").crossJoin(F.broadcast(collection(docs, doc_tokens))).crossJoin(cells)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -99,14 +103,20 @@ def tfidf_weights(post: DataFrame, stats: DataFrame, min_df: int = 1) -> DataFra
 
 def tfidf(docs: DataFrame, queries: DataFrame, doc_tokens: Column, q_tokens: Column, q_id: str, k: int, min_df: int = 1) -> DataFrame:
     """Cosine of TF-IDF vectors; the query's norm is over terms in the vocabulary."""
-    weights = tfidf_weights(postings(docs, doc_tokens), collection(docs, doc_tokens), min_df)
-    qterms = query_terms(queries, q_tokens, q_id)
-    vocab = weights.groupBy("term").agg(F.first("idf").alias("qidf"))
-    q = vocab.join(small(qterms), "term").withColumn("raw", F.col("qtf") * F.col("qidf"))
-    norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("qnorm"))
-    q = q.join(norm, "query_id").select("query_id", "term", (F.col("raw") / F.col("qnorm")).alias("wq"))
-    hit = weights.join(small(q), "term")
-    scores = hit.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
+    post, qterms = postings(docs, doc_tokens), query_terms(queries, q_tokens, q_id)
+    asked = small(qterms)
+    df = post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    vocab = df.crossJoin(F.broadcast(collection(docs, doc_tokens))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    #: Query terms carry the squared norm of their query along, so a term's postings meet them once.
+    q = vocab.join(asked, "term").withColumn("raw", F.col("qtf") * F.col("idf"))
+    q = q.withColumn("wq", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("query_id"))))
+    listed = small(qterms.select("term").distinct()).withColumn("asked", F.lit(True))
+    rows = post.join(vocab, "term").join(listed, "term", "left").withColumn("raw", F.col("tf") * F.col("idf"))
+    #: One aggregation gives a document's norm and its postings of query terms.
+    mine = F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("mine")
+    found = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), mine)
+    hit = found.select("doc_id", "norm", F.explode("mine").alias("x")).select("doc_id", "x.term", (F.col("x.raw") / F.col("norm")).alias("weight"))
+    scores = hit.join(q.select("query_id", "term", "wq"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
     return top_k(scores, k).select("query_id", "doc_id", "rank", "score")
 
 
@@ -124,8 +134,10 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def l2(a: Column | str) -> Column:
+    """``a`` over its norm, which is a bound variable: as an expression inside the transform it would be evaluated once an element."""
     n = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    norm = F.array(F.when(n == 0, 1.0).otherwise(n))
+    return F.element_at(F.transform(norm, lambda m: F.transform(a, lambda x: x.cast("double") / m)), 1)
 
 
 def dense(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -137,18 +149,19 @@ def dense(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def centroid(tokens: Column | str, dim: int) -> Column:
-    """L2-normalised mean of token vectors."""
-    mean = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(tokens, F.lit(0.0), lambda s, v: s + v[i].cast("double")) / F.size(tokens))
-    return l2(mean)
+    """L2-normalised mean of token vectors, in one pass over them; zeros without tokens."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    total = F.aggregate(tokens, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+    return l2(F.transform(total, lambda x: x / F.greatest(F.size(tokens), F.lit(1))))
 
 
 def maxsim(docs: DataFrame, queries: DataFrame, k: int, preselect: int, dim: int) -> DataFrame:
-    """Late interaction: centroids preselect candidates, then the sum over query tokens of the best document token."""
+    """Late interaction: centroids preselect candidates, then the sum over query tokens of the best document token (0 without tokens)."""
     d = docs.select("doc_id", "tokens", centroid("tokens", dim).alias("vec"))
     q = queries.select("query_id", F.col("tokens").alias("qtokens"), centroid("tokens", dim).alias("qvec"))
     first = dense(d, q, preselect).select("query_id", "doc_id")
     pairs = first.join(small(q.select("query_id", "qtokens")), "query_id").join(d.select("doc_id", "tokens"), "doc_id")
-    best = F.transform("qtokens", lambda t: F.array_max(F.transform("tokens", lambda v: dot(t, v))))
+    best = F.transform("qtokens", lambda t: F.coalesce(F.array_max(F.transform("tokens", lambda v: dot(t, v))), F.lit(0.0)))
     scores = pairs.select("query_id", "doc_id", F.aggregate(best, F.lit(0.0), lambda s, x: s + x).alias("score"))
     return top_k(scores, k).select("query_id", "doc_id", "rank", "score")
 

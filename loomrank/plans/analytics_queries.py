@@ -155,26 +155,23 @@ def success_overlap_jaccard(spark, sf):
     return E.success_overlap(_hits(spark, sf))
 
 
-@query(BASE + " SELECT round(avg((rel_item)::INTEGER), 6) AS acc1, round(avg((rel_parent AND NOT rel_item)::INTEGER), 6) AS right_parent_wrong_item, round(avg((NOT rel_parent)::INTEGER), 6) AS wrong_parent FROM cand WHERE rank = 1")
+@query(BASE + " SELECT round(avg(coalesce(rel_item, false)::INTEGER), 6) AS acc1, round(avg(coalesce(rel_parent AND NOT rel_item, false)::INTEGER), 6) AS right_parent_wrong_item, round(avg(coalesce(NOT rel_parent, true)::INTEGER), 6) AS wrong_parent FROM gold g LEFT JOIN (SELECT query_id, rel_item, rel_parent FROM cand WHERE rank = 1) c USING (query_id)")
 def error_rates(spark, sf):
-    top, avg = _cands(spark, sf).where("rank = 1"), lambda c: F.round(F.avg(c.cast("int")), 6)
+    """Shares of all queries; one without an answer has the wrong parent."""
+    top = _cands(spark, sf).where("rank = 1").select("query_id", "rel_item", "rel_parent")
+    rows = _gold(spark, sf).select("query_id").join(top, "query_id", "left").fillna(False, ["rel_item", "rel_parent"])
     item, parent = F.col("rel_item"), F.col("rel_parent")
-    return top.agg(avg(item).alias("acc1"), avg(parent & ~item).alias("right_parent_wrong_item"), avg(~parent).alias("wrong_parent"))
+    avg = lambda c: F.round(F.avg(c.cast("int")), 6)
+    return rows.agg(avg(item).alias("acc1"), avg(parent & ~item).alias("right_parent_wrong_item"), avg(~parent).alias("wrong_parent"))
 
 
-_NUMS = "regexp_extract_all({}, '[0-9]+(?:[.,][0-9]+)?')"
-
-
-@query("WITH" + RUN + f""", w AS (SELECT r.query_id, q.text AS qt, d.text AS dt FROM run r JOIN documents d USING (doc_id) JOIN documents q ON q.doc_id = r.query_id WHERE rank <= 2 AND r.doc_id <> r.query_id),
-x AS (SELECT query_id, CASE WHEN len({_NUMS.format('qt')}) > 0 AND len({_NUMS.format('dt')}) > 0 AND {_NUMS.format('qt')} <> {_NUMS.format('dt')} THEN 'numeric mismatch' WHEN qt = dt THEN 'near-duplicate'
- WHEN 1 - levenshtein(substr(qt, 1, 100), substr(dt, 1, 100)) / greatest(length(substr(qt, 1, 100)), length(substr(dt, 1, 100)))::DOUBLE > 0.7 THEN 'lexical confusion' ELSE 'ranking failure' END AS kind FROM w)
-SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM x GROUP BY kind""")
+@query()
 def error_types(spark, sf):
-    """Kinds of the strongest wrong answers; openings are compared by edit distance."""
+    """Kinds of the strongest wrong answers; whole normalised texts are compared."""
     d = docs(spark, sf).select("doc_id", "text")
     w = bm25_self(spark, sf, K).where("rank <= 2 and doc_id != query_id").join(d.withColumnRenamed("text", "dt"), "doc_id")
     w = w.join(d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("qt")), "query_id")
-    sim = 1 - T.normalized_levenshtein(F.substring("qt", 1, 100), F.substring("dt", 1, 100))
+    sim = T.sequence_similarity(T.normalize_text("qt"), T.normalize_text("dt"))
     kind = E.error_type(T.number_strings("qt"), T.number_strings("dt"), F.col("qt") == F.col("dt"), sim, F.lit(True))
     n = w.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6))
@@ -291,10 +288,15 @@ def idf_mass(spark, sf):
     return rows.groupBy("query_id").agg(F.round(F.sum(idf), 6).alias("mass"), F.count("*").alias("terms"))
 
 
-@query("SELECT round(avg((list_sort(list_distinct(string_split(a, ' '))) = list_sort(list_distinct(string_split(b, ' '))))::INTEGER), 6) AS aligned FROM (SELECT p_name AS a, reverse(reverse(p_name)) AS b FROM part)")
+_SET = "list_sort(list_distinct(regexp_extract_all(lower({}), '[a-z]+')))"
+
+
+@query(f"WITH x AS (SELECT {_SET.format('p_name')} AS a, {_SET.format('p_type')} AS b FROM part) SELECT round(avg((a = b)::INTEGER), 6) AS aligned, round(avg(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE), 6) AS jaccard FROM x")
 def phrase_alignment(spark, sf):
-    s = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
-    return table(spark, sf, "part").agg(F.round(F.avg((s(F.col("p_name")) == s(F.reverse(F.reverse("p_name")))).cast("int")), 6).alias("aligned"))
+    """How often the words of an item's name are those of its type, and how much of them they share."""
+    words = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))))
+    p = table(spark, sf, "part").select(words("p_name").alias("a"), words("p_type").alias("b"))
+    return p.agg(F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("aligned"), F.round(F.avg(T.jaccard(F.col("a"), F.col("b"))), 6).alias("jaccard"))
 
 
 @query("SELECT source, (SELECT count(*) FROM documents d2 WHERE d2.source = d.source AND d2.doc_id NOT IN (SELECT doc_id FROM labels)) AS uncovered FROM documents d GROUP BY source")

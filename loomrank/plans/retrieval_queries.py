@@ -41,9 +41,9 @@ def bench(spark, sf):
 
 
 def self_queries(spark, sf) -> DataFrame:
-    """Every fiftieth document, by its first twenty tokens, against all documents."""
+    """Every fiftieth document, by all of its tokens, against all documents."""
     d = docs(spark, sf).where("doc_id % 50 = 0")
-    return d.select(F.col("doc_id").alias("query_id"), F.slice(T.index_tokens("text"), 1, 20).alias("tokens"))
+    return d.select(F.col("doc_id").alias("query_id"), T.index_tokens("text").alias("tokens"))
 
 
 def bm25_self(spark, sf, k=K):
@@ -277,7 +277,7 @@ def rerank_tiebreak(spark, sf):
 
 
 _PAIR = (
-    "ps AS (SELECT query_id, doc_id, rank, score, (SELECT count(DISTINCT t) FROM (SELECT unnest(q.tokens) AS t) WHERE list_contains(d.tokens, t)) "
+    "ps AS (SELECT query_id, doc_id, rank, score, len(list_intersect(list_distinct(q.tokens), list_distinct(d.tokens))) "
     f"/ greatest(1, len(list_distinct(q.tokens)))::DOUBLE AS pair_score FROM run JOIN ({S.SELF}) q USING (query_id) JOIN p_d d USING (doc_id))"
 )
 
@@ -337,10 +337,10 @@ def prf_run(spark, sf):
     return R.top_k(R.bm25_scores(mixed, weights), K).select("query_id", "doc_id", "rank", "score")
 
 
-@query("WITH" + S.bm25("run", f"SELECT b.item_id AS query_id, list_concat({S.tokens('b.text')}, ({S.tokens('d.text')})[1:30]) AS tokens FROM benchmark b JOIN documents d ON d.doc_id = b.item_id", K) + f" SELECT {RUN_COLS} FROM run")
+@query("WITH" + S.bm25("run", f"SELECT b.item_id AS query_id, list_concat({S.tokens('b.text')}, {S.tokens('d.text')}) AS tokens FROM benchmark b JOIN documents d ON d.doc_id = b.item_id", K) + f" SELECT {RUN_COLS} FROM run")
 def hyde_concat(spark, sf):
-    """The opening of the document of the same number stands for a generated text."""
-    gen = docs(spark, sf).select(F.col("doc_id").alias("item_id"), F.slice(T.index_tokens("text"), 1, 30).alias("gen"))
+    """The document of the same number stands for a generated text."""
+    gen = docs(spark, sf).select(F.col("doc_id").alias("item_id"), T.index_tokens("text").alias("gen"))
     q = bench(spark, sf).join(gen, "item_id").select("item_id", F.concat(T.index_tokens("text"), F.col("gen")).alias("tokens"))
     return R.bm25(docs(spark, sf), q, R.analyzer("word"), F.col("tokens"), "item_id", K)
 

@@ -154,7 +154,9 @@ def levenshtein_match(spark, sf):
 
 @query()
 def sequence_similarity(spark, sf):
-    return bench(spark, sf).select("item_id", F.round(T.sequence_similarity("text", F.reverse("text")), 6).alias("ratio"))
+    """Each benchmark item against the document of the same number."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("text").alias("other"))
+    return bench(spark, sf).join(d, "item_id").select("item_id", F.round(T.sequence_similarity("text", "other"), 6).alias("ratio"))
 
 
 @query("SELECT 'bm25_k1_' || k || '_b_' || b AS method, k::DOUBLE AS k1, b::DOUBLE AS b FROM (VALUES ('0.60', '0.35'), ('1.20', '0.75')) t(k, b)")
@@ -208,11 +210,10 @@ def join_left_indicator(spark, sf):
     return docs(spark, sf).join(lab, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("matched"), F.coalesce("quality", F.lit(0)).alias("quality"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, x, y FROM (SELECT doc_id AS k, n_chars AS x FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id AS k, length(text) AS y FROM documents WHERE doc_id % 3 = 0) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, x, y FROM (SELECT doc_id AS k, n_chars AS x FROM documents) a FULL JOIN (SELECT o_orderkey AS k, o_orderpriority AS y FROM orders) b ON a.k = b.k")
 def join_outer_compare(spark, sf):
-    d = docs(spark, sf)
-    a = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("k"), F.col("n_chars").alias("x"))
-    b = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("k"), F.length("text").cast("long").alias("y"))
+    a = docs(spark, sf).select(F.col("doc_id").alias("k"), F.col("n_chars").alias("x"))
+    b = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("y"))
     return a.join(b, "k", "outer")
 
 
@@ -297,7 +298,7 @@ def tier_profile(spark, sf):
     return sets.agg(F.count("*").alias("queries"), F.round(F.avg("n"), 6).alias("mean_size"), F.round(F.avg((F.col("n") == 1).cast("int")), 6).alias("singleton"), F.round(F.avg(F.col("gold").cast("int")), 6).alias("contains_gold"))
 
 
-_TEXTS = "t AS (SELECT p_partkey AS query_id, p_name AS parent, p_type || ' of ' || p_brand || ' 12' AS text FROM part WHERE p_partkey % 50 = 0)"
+_TEXTS = "t AS (SELECT p_partkey AS query_id, p_name AS parent, p_type || ' of ' || p_brand || ' 12' AS text FROM part)"
 _RULE = f"""WITH {_FACTS}, {_TEXTS}, v AS (SELECT DISTINCT parent, axis, value FROM f),
 h AS (SELECT DISTINCT query_id, axis, value FROM t JOIN v USING (parent) WHERE contains(' ' || lower(text) || ' ', ' ' || lower(value) || ' ')),
 b AS (SELECT query_id, axis, count(*) AS n, min(value) AS value FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.query_id = b.query_id AND a.axis = b.axis AND length(b.value) > length(a.value) AND contains(lower(b.value), lower(a.value))) GROUP BY ALL),
@@ -305,7 +306,7 @@ r AS (SELECT query_id, axis, CASE WHEN n = 1 THEN value END AS value FROM t JOIN
 
 
 def _extracted(spark, sf):
-    q = table(spark, sf, "part").where("p_partkey % 50 = 0")
+    q = table(spark, sf, "part")
     q = q.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("parent"), F.concat("p_type", F.lit(" of "), "p_brand", F.lit(" 12")).alias("text"))
     return C.rule_extract(q, _facts(spark, sf).select("parent", "axis", "value").distinct())
 
@@ -387,7 +388,7 @@ def label_encoders(spark, sf):
 @query()
 def extractor_plugin(spark, sf):
     """The pluggable generator with a stand-in model, and the repair of its answers."""
-    p = table(spark, sf, "part").where("p_partkey % 50 = 0")
+    p = table(spark, sf, "part")
     answer = M.generate(T.prompt(T.PROMPTS["extract"], text="p_name"), lambda: lambda xs: ["```json\n{\"n\": \"%d\",}\n```" % len(x) for x in xs])
     return p.select("p_partkey", T.json_repair(answer)["n"].alias("n"))
 

@@ -76,14 +76,22 @@ def resolve_index(spark: SparkSession, name: str) -> dict[str, DataFrame]:
 
 
 def upsert(spark: SparkSession, table: str, entries: DataFrame, key: str) -> None:
-    """Last writer wins by key."""
+    """Last writer wins by key.
+
+    The new table is complete before the old one goes; a run that died in between is finished by the next.
+    """
+    staged = f"{table}__staged"
+    if spark.catalog.tableExists(staged):
+        if spark.catalog.tableExists(table):
+            spark.sql(f"DROP TABLE {staged}")
+        else:
+            spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
     if spark.catalog.tableExists(table):
         old = spark.table(table).join(entries, key, "left_anti")
         entries = old.unionByName(entries, allowMissingColumns=True)
-    staged = f"{table}__staged"
     entries.write.mode("overwrite").saveAsTable(staged)
-    spark.table(staged).write.mode("overwrite").saveAsTable(table)
-    spark.sql(f"DROP TABLE {staged}")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
 
 
 def load_config(path: str, **names: str) -> dict:
@@ -113,16 +121,24 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path + ".json")
 
 
+def _few(df: DataFrame, limit: int) -> list:
+    """All rows of a report; more than ``limit`` are an error, not a shorter report."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows: aggregate it first, or write it as a table")
+    return rows
+
+
 def latex_table(df: DataFrame, digits: int = 3, limit: int = 1000) -> str:
     """A small table as LaTeX rows."""
     show = lambda x: f"{x:.{digits}f}" if isinstance(x, float) else "" if x is None else str(x).replace("_", r"\_")
     head = " & ".join(c.replace("_", r"\_") for c in df.columns)
-    body = [" & ".join(show(x) for x in r) + r" \\" for r in df.limit(limit).collect()]
+    body = [" & ".join(show(x) for x in r) + r" \\" for r in _few(df, limit)]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", head + r" \\", r"\hline", *body, r"\end{tabular}"])
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    rows = [list(df.columns), ["---"] * len(df.columns), *([("" if x is None else str(x)) for x in r] for r in df.limit(limit).collect())]
+    rows = [list(df.columns), ["---"] * len(df.columns), *([("" if x is None else str(x)) for x in r] for r in _few(df, limit))]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 

@@ -103,3 +103,58 @@ def test_maxsim_preselects_256(spark):
         near = np.argsort(-(mid @ mid[q]), kind="stable")[:256]
         best = np.sort(np.einsum("qd,ntd->nqt", x[q], x[near]).max(axis=2).sum(axis=1))[::-1][:10]
         assert [got[ids[q]][i + 1] for i in range(10)] == pytest.approx(best.tolist(), abs=2e-5)
+
+
+def test_errors_and_edges(spark, tmp_path):
+    runs = spark.createDataFrame([("a", 1, 5, 1, 2.0), ("c", 1, 6, 2, 2.0)], "ranker string, query_id int, doc_id int, rank int, score double")
+    with pytest.raises(Exception, match="no weight for ranker c"):
+        X.rrf(runs, {"a": 1.0}, 5).collect()
+    assert one(spark, T.formula_to_sql(F.lit("$x ^ 2 > 9"))) == "power(x, 2) > 9"
+    v = spark.createDataFrame([(1, [[1.0, 0.0]]), (2, []), (3, [[0.0, 2.0], [2.0, 0.0]])], "doc_id long, tokens array<array<double>>")
+    q = spark.createDataFrame([(7, [[1.0, 0.0], [0.0, 1.0]])], "query_id long, tokens array<array<double>>")
+    assert {r["doc_id"]: r["score"] for r in R.maxsim(v, q, 5, 5, 2).collect()} == {1: 1.0, 2: 0.0, 3: 4.0}
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        io.markdown_table(spark.range(3), 2)
+    d = spark.createDataFrame([("p", x) for x in (0.5, 0.5, -0.25, 0.75, 0.1)], "pair string, d double")
+    r = E.bootstrap(d, 2000).first()
+    assert r["diff"] == pytest.approx(0.32) and r["ci_low"] < 0.32 < r["ci_high"] and 0 < r["one_sided"] < 0.2
+
+
+def test_query_stream(spark, tmp_path):
+    """A stream of queries gives the run of the same queries as a table."""
+    from loomrank.streaming import search
+
+    docs = spark.createDataFrame([(1, "red apple"), (2, "blue sky"), (3, "red sky at night")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "red sky"), (8, "apple")], "query_id long, text string")
+    queries.write.parquet(str(tmp_path / "queries"))
+    words = T.index_tokens("text")
+    weights = R.bm25_weights(R.postings(docs, words), R.collection(docs, words))
+    got = []
+    stream = spark.readStream.schema(queries.schema).parquet(str(tmp_path / "queries"))
+    search.bm25_stream(stream, weights, words, 5, lambda df, _: got.extend(df.collect())).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, R.bm25(docs, queries, words, words, "query_id", 5).collect()))
+
+
+def test_error_types_compare_whole_texts(spark):
+    """Kinds by brute force on the smallest documents."""
+    import difflib
+    import re
+    from collections import Counter
+
+    from loomrank.plans import analytics_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    text = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    norm = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.normalize_text("text")).collect()}
+    numbers = lambda t: re.findall(r"[0-9]+(?:[.,][0-9]+)?", t)
+    want = Counter()
+    for r in Q.bm25_self(spark, sf, Q.K).where("rank <= 2 and doc_id != query_id").collect():
+        q, d = r["query_id"], r["doc_id"]
+        a, b = numbers(text[q]), numbers(text[d])
+        if a and b and a != b:
+            want["numeric mismatch"] += 1
+        elif text[q] == text[d]:
+            want["near-duplicate"] += 1
+        else:
+            want["lexical confusion" if difflib.SequenceMatcher(None, norm[q], norm[d]).ratio() > 0.7 else "ranking failure"] += 1
+    assert {r["kind"]: r["n"] for r in Q.error_types(spark, sf).collect()} == dict(want)
