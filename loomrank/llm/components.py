@@ -50,16 +50,23 @@ class Tables:
         self.spark, self.n = spark, 0
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """``df`` written and read back; shuffle files of the writing query are removed at its end."""
+    def write(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """``df`` written and read back; shuffle files of the writing query are removed at its end.
+
+        ``batch``: rows that readers and Arrow hold at once while it is written, for tables whose rows are megabytes.
+        """
         self.n += 1
-        path, key = f"{self.folder}/{self.n}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, "true")
+        path, settings = f"{self.folder}/{self.n}", {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        if batch:
+            settings |= {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.parquet.columnarReaderBatchSize": str(batch)}
+        before = {key: self.spark.conf.get(key) for key in settings}
         try:
+            for key, value in settings.items():
+                self.spark.conf.set(key, value)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(key, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, n: int) -> None:
