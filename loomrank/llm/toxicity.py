@@ -47,6 +47,9 @@ MAX_TRAIN = 12_000
 LEAST_ROWS = 3
 #: A feature marks the label if this share of its rows carries it, by the lower bound at 95 %.
 LEAST_PRECISION = 0.5
+#: Hashes by which near copies among the labelled rows are told.
+SKETCH = 8
+_MULTIPLIERS = np.random.default_rng(7).integers(1, 2**61, size=SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 def _fold(name: str = "doc_id") -> F.Column:
@@ -69,7 +72,11 @@ def precision_bound(p, q, sqrt=np.sqrt, z: float = 1.96):
 
 
 def _mine(sample: DataFrame) -> dict[str, int]:
-    """Features that mark the label: {feature: voter list number}; ``sample`` has at most MAX_LABELLED rows."""
+    """Features that mark the label: {feature: voter list number}; ``sample`` has at most MAX_LABELLED rows.
+
+    A feature is chosen if the cover needs it, or if it marks the label by ``LEAST_PRECISION`` with
+    each group of near copies counted as one row: copies share all of their words and prove nothing of each.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,18 +89,52 @@ def _mine(sample: DataFrame) -> dict[str, int]:
     counts = map_rows(sample, run, "f string, p long, q long", ids=()).groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     precise = precision_bound(F.col("p"), F.col("q"), F.sqrt)
     ranked = counts.where(f"f != '' and p >= {LEAST_ROWS}").withColumn("z", precise * F.sqrt("p")).where(precise >= LEAST_PRECISION)
-    top = [r["f"] for r in ranked.orderBy(F.desc("z"), "f").collect()]
+    found = ranked.orderBy(F.desc("z"), "f").collect()
+    top = [r["f"] for r in found]
     place = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(top)})
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [sorted(place.value[f] for f in features(t) & place.value.keys()) for t in pdf["text"]]
-            yield pd.DataFrame({"marks": found})
+            yield pd.DataFrame({"marks": found, "sketch": [sketch(t) for t in pdf["text"]]})
 
-    held = [r["marks"] for r in map_rows(sample.where("toxic = 1"), marks, "marks array<int>", ids=()).collect()]
+    rows = map_rows(sample.where("toxic = 1"), marks, "marks array<int>, sketch array<long>", ids=()).collect()
+    held = [r["marks"] for r in rows]
     kinds = "w" + "".join(map(str, STARTS))
-    chosen = [top[i] for kind in kinds for i in cover([[i for i in m if top[i][0] == kind] for m in held], LEAST_ROWS)]
-    return {f: kinds.index(f[0]) * DEALT + zlib.crc32(f.encode()) % DEALT for f in chosen}
+    chosen = {top[i] for kind in kinds for i in cover([[i for i in m if top[i][0] == kind] for m in held], LEAST_ROWS)}
+    apart: list[set[int]] = [set() for _ in top]
+    for m, group in zip(held, copy_groups([r["sketch"] for r in rows])):
+        for i in m:
+            apart[i].add(group)
+    chosen |= {r["f"] for r, groups in zip(found, apart) if groups and precision_bound(len(groups), r["q"], math.sqrt) >= LEAST_PRECISION}
+    return {f: kinds.index(f[0]) * DEALT + zlib.crc32(f.encode()) % DEALT for f in sorted(chosen)}
+
+
+def sketch(text: str | None) -> list[int]:
+    """Smallest of each of SKETCH hashes of the three-word sequences of a text (a shorter text is one); empty without words."""
+    ws = _WORD.findall(text.lower()) if text else []
+    if not ws:
+        return []
+    runs = np.array(sorted({zlib.crc32(" ".join(ws[i : i + 3]).encode()) for i in range(max(len(ws) - 2, 1))}), dtype=np.uint64)
+    return [int((runs * m >> np.uint64(20)).min()) for m in _MULTIPLIERS]
+
+
+def copy_groups(sketches: list[list[int]]) -> list[int]:
+    """Group number of each sketch; those that agree in any place are together, so texts with a common passage may be too."""
+    parent = list(range(len(sketches)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first: dict[tuple[int, int], int] = {}
+    for i, values in enumerate(sketches):
+        for at in enumerate(values):
+            a, b = root(i), root(first.setdefault(at, i))
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sketches))]
 
 
 def cover(rows: list[list[int]], least: int = LEAST_ROWS) -> list[int]:

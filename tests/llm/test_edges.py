@@ -204,3 +204,19 @@ def test_pipeline_keeps_different_texts_of_one_id(spark, tmp_path):
     spark.createDataFrame([(1, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
     assert sorted((r["doc_id"] for r in clean), key=str) == sorted([BIG, BIG + 1, 7, 7], key=str)
+
+
+def test_copies_of_a_labelled_text_count_once():
+    text = "some quite ordinary words about rivers and hills in the far north"
+    copies = [toxicity.sketch(text), toxicity.sketch(text + " today"), toxicity.sketch("nothing of that kind is said here at all")]
+    groups = toxicity.copy_groups(copies + [toxicity.sketch(None), toxicity.sketch("!")])
+    assert groups[0] == groups[1] and len(set(groups)) == 4
+    assert toxicity.sketch("Two words") == toxicity.sketch("two words") and toxicity.sketch("") == []
+
+
+def test_words_of_a_copied_toxic_text_mark_nothing(spark):
+    rows = [("an ordinary river text with zorkhead in it and so on", 1)] * 40
+    rows += [(f"{w} zorkhead {w}s {w}t", 1) for w in ("aba", "beb", "cic", "dod", "eue", "fif", "gog")]
+    rows += [(f"plain talk number {w} goes here", 0) for w in ("abo", "bab", "coc", "did", "eve", "faf")]
+    mined = toxicity._mine(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "wzorkhead" in mined and not {"wordinary", "wriver", "6ordina"} & mined.keys()
