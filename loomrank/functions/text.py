@@ -205,6 +205,25 @@ def numeric_normalize(c: Column | str) -> Column:
     return x.try_cast("double")
 
 
+def numeric_equal(a: Column | str, b: Column | str) -> Column:
+    """True if both are the same number without their units; false if either is none."""
+    return F.coalesce(numeric_normalize(a) == numeric_normalize(b), F.lit(False))
+
+
+def normalize_parameters(c: Column | str) -> Column:
+    """Struct of norm, the parameter map with label_norm and value_norm beside each label and value, and
+    multi, the distinct normalised values of two words or more in order; a null map counts as empty.
+    """
+    value = lambda v: F.struct(v["label"].alias("label"), v["value"].alias("value"), normalize_text(v["value"]).alias("value_norm"))
+    kept = lambda b: F.transform(F.coalesce(b["values"], F.array().cast("array<struct<label:string, value:string>>")), value)
+    block = lambda k, b: F.struct(b["label"].alias("label"), normalize_text(b["label"]).alias("label_norm"), kept(b).alias("values"))
+    empty = F.from_json(F.lit("{}"), "map<string, struct<label:string, values:array<struct<label:string, value:string>>>>")
+    norm = F.transform_values(F.coalesce(_col(c), empty), block)
+    values = F.flatten(F.transform(F.map_values(norm), lambda b: b["values"]["value_norm"]))
+    words = lambda v: F.size(F.regexp_extract_all(v, F.lit(r"\p{L}+"), F.lit(0)))
+    return F.struct(norm.alias("norm"), F.array_distinct(F.filter(values, lambda v: words(v) >= 2)).alias("multi"))
+
+
 def normalized_levenshtein(a: Column | str, b: Column | str) -> Column:
     longest = F.greatest(F.length(_col(a)), F.length(_col(b)))
     return F.when(longest == 0, 0.0).otherwise(F.levenshtein(_col(a), _col(b)) / longest)

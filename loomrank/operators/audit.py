@@ -47,6 +47,45 @@ def consistency(rows: DataFrame, run: str, key: str) -> DataFrame:
     return fingerprint(rows, key, run).groupBy("n", "sha256").agg(F.count("*").alias("runs"), names.alias("names"))
 
 
+def _raised(message: str) -> Column:
+    return F.raise_error(F.lit(message)).cast("boolean")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join; a key that occurs twice on either side fails the query.  Null keys match nothing.
+
+    Each side is counted by key before the join, on the join's own partitioning.
+    """
+
+    def unique(df: DataFrame, side: str) -> DataFrame:
+        rest = F.struct(*[F.col(c) for c in df.columns if c != key])
+        once = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.first(rest).alias("_row"), F.count("*").alias("_n"))
+        return once.where(F.when(F.col("_n") == 1, True).otherwise(_raised(f"{key} is not unique on the {side}"))).select(key, "_row.*")
+
+    return unique(left, "left").join(unique(right, "right"), key)
+
+
+def intersect_strict(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys of both sides; a key that only one side has fails the query."""
+    mark = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    both = mark(a, "_a").join(mark(b, "_b"), key, "outer")
+    same = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return both.where(F.when(same, True).otherwise(_raised(f"the sides differ in {key}"))).select(key)
+
+
+def sample_rows(rows: DataFrame, sample: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in the sample, by key; a sample key without a row is an error."""
+    missing = sample.select(key).join(rows.select(key), key, "left_anti").limit(1).collect()
+    if missing:
+        raise KeyError(f"{key} {missing[0][0]} of the sample has no row")
+    return rows.join(sample.select(key), key, "left_semi").orderBy(key)
+
+
+def exact_matches(scored: DataFrame, least: float = 0.9) -> DataFrame:
+    """Rows that matched exactly: score above ``least``."""
+    return scored.where(F.col("score") > least)
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return rows.orderBy(hash_order(key, seed), key).limit(n)
 

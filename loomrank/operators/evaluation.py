@@ -160,6 +160,39 @@ def bootstrap(diffs: DataFrame, draws: int = 10_000, seed: int = 13) -> DataFram
     return cells.groupBy("pair").applyInPandas(run, "pair string, n long, diff double, two_sided double, one_sided double, ci_low double, ci_high double")
 
 
+def against_best(acc: DataFrame, pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Leaderboard of (method, acc1) with each method's difference to the best one.
+
+    ``pairs`` is (m1, m2, delta, ci_low, ci_high, p_raw, p_holm, p_bh) with delta = m1 - m2, in either order of a
+    pair; one stored as (method, best) is turned round.  The best method (ties: first by name) differs from
+    itself by 0 with p 0; a method without a pair has nulls and no mark.
+    """
+    best = acc.orderBy(F.desc("acc1"), "method").limit(1).select(F.col("method").alias("best"))
+    turned = pairs.select(
+        F.col("m2").alias("best"), F.col("m1").alias("method"), (-F.col("delta")).alias("delta"), (-F.col("ci_high")).alias("ci_low"),
+        (-F.col("ci_low")).alias("ci_high"), "p_raw", "p_holm", "p_bh",
+    )
+    both = pairs.select(F.col("m1").alias("best"), F.col("m2").alias("method"), "delta", "ci_low", "ci_high", "p_raw", "p_holm", "p_bh").unionByName(turned)
+    rows = acc.crossJoin(F.broadcast(best)).join(both, ["best", "method"], "left")
+    own = F.col("method") == F.col("best")
+    zero = lambda c: F.when(own, F.lit(0.0)).otherwise(F.col(c)).alias(c)
+    numbers = [zero(c) for c in ("delta", "ci_low", "ci_high", "p_raw", "p_holm", "p_bh")]
+    mark = lambda c: F.coalesce(own | (F.col(c) < alpha), F.lit(False))
+    return rows.select("method", "acc1", *numbers, mark("p_holm").alias("sig_holm"), mark("p_bh").alias("sig_bh"))
+
+
+def family_best(acc: DataFrame, family: Column | str) -> DataFrame:
+    """(family, method, acc1) of each family's best method; ties: the first by name."""
+    best = F.min_by(F.struct("method", "acc1"), F.struct(-F.col("acc1"), "method")).alias("x")
+    return acc.groupBy((F.col(family) if isinstance(family, str) else family).alias("family")).agg(best).select("family", "x.*")
+
+
+def latency_accuracy(latency: DataFrame, acc: DataFrame) -> DataFrame:
+    """(method, mean_ms, p95_ms, acc1) from (method, ms) per query and (method, acc1); methods in both."""
+    times = latency.groupBy("method").agg(F.avg("ms").alias("mean_ms"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
+    return times.join(acc.select("method", "acc1"), "method")
+
+
 def spearman(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Rank correlation of two columns on ordinal ranks (ties by key); null below three rows."""
     ranked = rows.select(

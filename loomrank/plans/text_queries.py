@@ -204,6 +204,24 @@ def join_inner(spark, sf):
     return o.join(table(spark, sf, "customer"), "c_custkey").select("o_orderkey", "c_name", "o_totalprice")
 
 
+@query("SELECT d.doc_id, lang, quality, toxic FROM documents d JOIN labels l USING (doc_id)")
+def join_one_to_one(spark, sf):
+    return A.one_to_one(docs(spark, sf).select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+
+
+@query("SELECT r_regionkey AS k FROM region INTERSECT SELECT n_regionkey FROM nation")
+def intersect_strict(spark, sf):
+    return A.intersect_strict(table(spark, sf, "region").select(F.col("r_regionkey").alias("k")), table(spark, sf, "nation").select(F.col("n_regionkey").alias("k")), "k")
+
+
+@query("WITH n AS (SELECT p_partkey, p_size || ' cm' AS a, p_size || ',0' AS b, (p_size + p_partkey % 2) || ' mm' AS c FROM part) SELECT p_partkey, true AS same, p_partkey % 2 = 0 AS maybe, false AS none FROM n")
+def numeric_equal(spark, sf):
+    p, size = table(spark, sf, "part"), F.col("p_size").cast("string")
+    a, b = F.concat(size, F.lit(" cm")), F.concat(size, F.lit(",0"))
+    c = F.concat((F.col("p_size") + F.col("p_partkey") % 2).cast("string"), F.lit(" mm"))
+    return p.select("p_partkey", T.numeric_equal(a, b).alias("same"), T.numeric_equal(a, c).alias("maybe"), T.numeric_equal(a, F.lit("cm")).alias("none"))
+
+
 @query("SELECT doc_id, l.doc_id IS NOT NULL AS matched, coalesce(quality, 0) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)".replace("SELECT doc_id, l.doc_id", "SELECT d.doc_id, l.doc_id"))
 def join_left_indicator(spark, sf):
     lab = table(spark, sf, "labels").withColumn("found", F.lit(True))

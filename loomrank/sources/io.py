@@ -62,6 +62,42 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("query_id", F.explode("candidates").alias("c")).select("query_id", "c.doc_id", "c.rank", "c.score")
 
 
+def write_feats(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """A feature table as parquet, csv with a header, or jsonl."""
+    if fmt not in ("parquet", "csv", "jsonl"):
+        raise ValueError(f"unknown format {fmt}")
+    out = df.write.mode("overwrite")
+    out.option("header", True).csv(path) if fmt == "csv" else out.json(path) if fmt == "jsonl" else out.parquet(path)
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, external_id); places that are not exactly 0 to N - 1 are an error."""
+    rows = spark.read.schema("doc_id long, external_id string").json(path)
+    got = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    if got["n"] and (got["d"], got["lo"], got["hi"]) != (got["n"], 0, got["n"] - 1):
+        raise ValueError(f"{path}: doc_id must be 0 to {got['n'] - 1}, each once")
+    return rows
+
+
+def discover_runs(spark: SparkSession, root: str, mode: str = "GLOBAL", bm25: tuple[str, ...] = (), family: str = "bm25") -> DataFrame:
+    """(method, path) of run folders below ``root`` that hold metrics_dual.json, by the folder's name.
+
+    GLOBAL: all but the BM25 runs not in ``bm25``; LEXICAL: of these the ones that are not dense; DENSE: names that
+    start with dense_ or bge_; BM25_VARIANTS: names that start with ``family``.  Case does not matter.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "metrics_dual.json").option("recursiveFileLookup", True).load(root)
+    runs = found.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("path")).select(F.element_at(F.split("path", "/"), -1).alias("method"), "path")
+    name = F.lower("method")
+    selected = ~name.startswith("bm25") | name.isin([m.lower() for m in bm25])
+    rules = {
+        "GLOBAL": selected,
+        "LEXICAL": selected & ~name.startswith("dense_") & ~name.startswith("bge"),
+        "DENSE": name.startswith("dense_") | name.startswith("bge_"),
+        "BM25_VARIANTS": name.startswith(family.lower()),
+    }
+    return runs.where(rules[mode]).orderBy("method")
+
+
 def write_index(spark: SparkSession, name: str, **tables: DataFrame) -> None:
     """Postings, terms, documents of an index as catalog tables ``<name>__<table>``."""
     for table, df in tables.items():

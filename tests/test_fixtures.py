@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomrank.functions import text as T
+from loomrank.operators import audit as A
 from loomrank.operators import evaluation as E
 from loomrank.operators import fusion as X
 from loomrank.operators import retrieval as R
@@ -158,3 +159,63 @@ def test_error_types_compare_whole_texts(spark):
         else:
             want["lexical confusion" if difflib.SequenceMatcher(None, norm[q], norm[d]).ratio() > 0.7 else "ranking failure"] += 1
     assert {r["kind"]: r["n"] for r in Q.error_types(spark, sf).collect()} == dict(want)
+
+
+def test_parameters_are_normalised(spark):
+    raw = '{"A": {"label": " TERRENO ", "values": [{"label": "a", "value": " Volumen  Escaso "}, {"label": "b", "value": "blando"}]}, "B": {"label": "b", "values": [{"label": "c", "value": "volumen escaso"}, {"label": "d", "value": "10 x"}]}}'
+    got = one(spark, T.normalize_parameters(F.from_json(F.lit(raw), io.VALUES)))
+    assert got["multi"] == ["volumen escaso"]
+    assert got["norm"]["A"]["label_norm"] == "terreno" and got["norm"]["B"]["values"][1]["value_norm"] == "10 x"
+    empty = one(spark, T.normalize_parameters(F.lit(None).cast(io.VALUES)))
+    assert empty["norm"] == {} and empty["multi"] == []
+    assert one(spark, T.numeric_equal(F.lit("3,50 m"), F.lit("3.5"))) and not one(spark, T.numeric_equal(F.lit("m"), F.lit("m")))
+
+
+def test_validated_joins_and_sets(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, a string")
+    b = spark.createDataFrame([(1, "p"), (3, "q"), (None, "r"), (None, "s")], "k int, b string")
+    assert [tuple(r) for r in A.one_to_one(a, b, "k").collect()] == [(1, "x", "p")]
+    with pytest.raises(Exception, match="not unique on the right"):
+        A.one_to_one(a, b.union(b), "k").collect()
+    assert {r[0] for r in A.intersect_strict(a.where("k > 0"), a.where("k > 0"), "k").collect()} == {1, 2}
+    with pytest.raises(Exception, match="differ in k"):
+        A.intersect_strict(a.where("k > 0"), b.where("k > 0"), "k").collect()
+    assert [r["a"] for r in A.sample_rows(a, a.where("k = 2"), "k").collect()] == ["y"]
+    with pytest.raises(KeyError):
+        A.sample_rows(a, b.where("k = 3"), "k")
+    assert A.exact_matches(spark.createDataFrame([(0.9,), (0.91,), (None,)], "score double")).count() == 1
+
+
+def test_method_reports(spark):
+    acc = spark.createDataFrame([("a", 0.5), ("b", 0.75), ("c", 0.75), ("d", 0.1)], "method string, acc1 double")
+    rows = [("b", "a", 0.25, 0.1, 0.4, 0.01, 0.02, 0.01), ("c", "b", 0.0, -0.1, 0.2, 0.9, 0.9, 0.9)]
+    pairs = spark.createDataFrame(rows, "m1 string, m2 string, delta double, ci_low double, ci_high double, p_raw double, p_holm double, p_bh double")
+    got = {r["method"]: r for r in E.against_best(acc, pairs).collect()}
+    assert got["b"]["delta"] == 0.0 and got["b"]["sig_holm"] and got["a"]["delta"] == 0.25 and got["a"]["sig_bh"]
+    assert (got["c"]["ci_low"], got["c"]["ci_high"], got["c"]["sig_holm"]) == (-0.2, 0.1, False)
+    assert got["d"]["delta"] is None and not got["d"]["sig_holm"]
+    best = E.family_best(acc.withColumn("f", F.when(F.col("method") == "a", "x").otherwise("y")), "f").collect()
+    assert {(r["family"], r["method"]) for r in best} == {("x", "a"), ("y", "b")}
+    times = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("z", 1.0)], "method string, ms double")
+    assert [tuple(r) for r in E.latency_accuracy(times, acc).collect()] == [("a", 50.0, 95.0, 0.5)]
+
+
+def test_mapping_runs_and_features(spark, tmp_path):
+    (tmp_path / "good.jsonl").write_text('{"doc_id": 1, "external_id": "b"}\n{"doc_id": 0, "external_id": "a"}\n')
+    (tmp_path / "bad.jsonl").write_text('{"doc_id": 0, "external_id": "b"}\n{"doc_id": 2, "external_id": "a"}\n')
+    assert io.read_mapping(spark, f"{tmp_path}/good.jsonl").count() == 2
+    with pytest.raises(ValueError, match="0 to 1"):
+        io.read_mapping(spark, f"{tmp_path}/bad.jsonl")
+    for method in ("bm25_k1_1.20", "bm25_other", "dense_a", "bge_b", "tfidf"):
+        (tmp_path / "runs" / method).mkdir(parents=True)
+        (tmp_path / "runs" / method / "metrics_dual.json").write_text("{}")
+    (tmp_path / "runs" / "unfinished").mkdir()
+    found = lambda mode: [r["method"] for r in io.discover_runs(spark, f"{tmp_path}/runs", mode, ("BM25_other",)).collect()]
+    assert found("GLOBAL") == ["bge_b", "bm25_other", "dense_a", "tfidf"] and found("LEXICAL") == ["bm25_other", "tfidf"]
+    assert found("DENSE") == ["bge_b", "dense_a"] and found("BM25_VARIANTS") == ["bm25_k1_1.20", "bm25_other"]
+    rows = spark.createDataFrame([(1, "x,y"), (2, None)], "k int, t string")
+    for fmt, read in (("parquet", spark.read.parquet), ("csv", spark.read.option("header", True).schema("k int, t string").csv), ("jsonl", spark.read.schema("k int, t string").json)):
+        io.write_feats(rows, f"{tmp_path}/{fmt}", fmt)
+        assert sorted(read(f"{tmp_path}/{fmt}").collect()) == sorted(rows.collect())
+    with pytest.raises(ValueError):
+        io.write_feats(rows, f"{tmp_path}/x", "xml")
