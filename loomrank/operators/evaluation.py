@@ -181,6 +181,21 @@ def against_best(acc: DataFrame, pairs: DataFrame, alpha: float = 0.05) -> DataF
     return rows.select("method", "acc1", *numbers, mark("p_holm").alias("sig_holm"), mark("p_bh").alias("sig_bh"))
 
 
+def single_match(places: DataFrame, k: int = 10) -> DataFrame:
+    """One row for (query_id, place) with the place of the only right document, null if it was not found.
+
+    success, mrr and perfect are over all queries, mean and median place over the found ones; distribution holds the
+    share of each place from 1 to k.
+    """
+    p = F.when(F.col("place") <= k, F.col("place"))
+    share = lambda c: F.round(F.avg(c), 6)
+    at = lambda i: share(F.coalesce(p == i, F.lit(False)).cast("int"))
+    return places.agg(
+        share(p.isNotNull().cast("int")).alias("success"), share(F.coalesce(1 / p, F.lit(0.0))).alias("mrr"), F.round(F.avg(p), 6).alias("mean_place"),
+        F.median(p).alias("median_place"), at(1).alias("perfect"), F.array(*[at(i) for i in range(1, k + 1)]).alias("distribution"),
+    )
+
+
 def family_best(acc: DataFrame, family: Column | str) -> DataFrame:
     """(family, method, acc1) of each family's best method; ties: the first by name."""
     best = F.min_by(F.struct("method", "acc1"), F.struct(-F.col("acc1"), "method")).alias("x")

@@ -98,6 +98,18 @@ def discover_runs(spark: SparkSession, root: str, mode: str = "GLOBAL", bm25: tu
     return runs.where(rules[mode]).orderBy("method")
 
 
+def export_best(spark: SparkSession, fused: DataFrame, metrics: DataFrame, path: str, k: int = 10) -> str:
+    """The fused run of the best config (highest acc1; ties: first by name), cut to k places, as the run file at ``path``.
+
+    ``fused`` is (config, query_id, doc_id, rank, score), ``metrics`` (config, acc1).  Returns the config.
+    """
+    best = metrics.orderBy(F.desc("acc1"), "config").select("config").first()
+    if best is None:
+        raise ValueError("no config to export")
+    write_run(fused.where((F.col("config") == best["config"]) & (F.col("rank") <= k)), path)
+    return best["config"]
+
+
 def write_index(spark: SparkSession, name: str, **tables: DataFrame) -> None:
     """Postings, terms, documents of an index as catalog tables ``<name>__<table>``."""
     for table, df in tables.items():

@@ -219,3 +219,30 @@ def test_mapping_runs_and_features(spark, tmp_path):
         assert sorted(read(f"{tmp_path}/{fmt}").collect()) == sorted(rows.collect())
     with pytest.raises(ValueError):
         io.write_feats(rows, f"{tmp_path}/x", "xml")
+
+
+def test_spans_labels_and_places(spark):
+    spans = spark.createDataFrame([(1, "A", 0, 2), (1, "A", 3, 5), (1, "B", 5, 6), (1, "B", 0, 0), (1, "B", 8, 9)], "seq_id int, axis string, start int, stop int")
+    texts = spark.createDataFrame([(1, "ab cdefg h")], "seq_id int, text string")
+    assert {tuple(r) for r in C.merge_adjacent(spans, texts).collect()} == {(1, "A", 0, 5), (1, "B", 5, 6), (1, "B", 8, 9)}
+    axes = spark.createDataFrame([("b ",), ("a",), ("b",)], "axis string")
+    assert {r["label"]: r["id"] for r in C.bio_labels(axes).collect()} == {"O": 0, "B-a": 1, "B-b": 2, "I-a": 3, "I-b": 4}
+    f1 = C.macro_f1(C.span_f1(spans, spans.where("axis = 'A'"))).first()
+    assert (f1["axes"], f1["macro_f1"]) == (1, 1.0)
+    gold = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "x")], "query_id int, axis string, value string")
+    got = C.classifier_accuracy(gold.where("axis = 'a'"), gold).first()
+    assert (got["axis_accuracy"], got["query_accuracy"]) == (0.666667, 0.5)
+    assert C.classifier_accuracy(gold, gold.limit(0)).first()["query_accuracy"] == 0.0
+    places = spark.createDataFrame([(1, 1), (2, 4), (3, None), (4, 11)], "query_id int, place int")
+    got = E.single_match(places).first()
+    assert (got["success"], got["mrr"], got["mean_place"], got["median_place"], got["perfect"]) == (0.5, 0.3125, 2.5, 2.5, 0.25)
+    assert got["distribution"] == [0.25, 0, 0, 0.25, 0, 0, 0, 0, 0, 0]
+
+
+def test_best_fused_run_is_exported(spark, tmp_path):
+    rows = [("w1", 1, 5, 1, 2.0), ("w2", 1, 6, 1, 3.0), ("w2", 1, 7, 2, 1.0), ("w2", 1, 8, 3, 0.5)]
+    fused = spark.createDataFrame(rows, "config string, query_id int, doc_id int, rank int, score double")
+    metrics = spark.createDataFrame([("w1", 0.5), ("w2", 0.5), ("w0", 0.1)], "config string, acc1 double")
+    assert io.export_best(spark, fused, metrics, f"{tmp_path}/a", 2) == "w1"
+    assert io.export_best(spark, fused, metrics.where("config != 'w1'"), f"{tmp_path}/b", 2) == "w2"
+    assert sorted(r["doc_id"] for r in io.read_run(spark, f"{tmp_path}/b").collect()) == ["6", "7"]
