@@ -1,5 +1,7 @@
 """Block products give what joins of postings give, and shuffle no row for a pair."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +41,25 @@ def test_signatures_round_to_four_places(spark):
     w = spark.createDataFrame([(1, "a", 0.500012), (2, "a", 0.500031), (3, "a", 0.5002)], "doc_id long, term string, weight double")
     s = {r["doc_id"]: r["signature"] for r in A.vector_signatures(w).collect()}
     assert s[1] == s[2] != s[3]
+
+
+def test_runs_move_only_the_best(spark):
+    """Documents in as many parts as cores are not dealt out again, and equal queries send one row group a task."""
+    n = spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 640, 1, n).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two w"), F.col("id") % 7).alias("text"))
+    words = T.index_tokens("text")
+    run = R.bm25(docs, docs.withColumnRenamed("doc_id", "q"), words, words, "q", 3)
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Repartition \d+, true", plan) and "Window" not in plan
+    rows = {r["query_id"]: r["doc_id"] for r in run.where("rank = 1").collect()}
+    assert rows == {i: i % 7 for i in range(640)}
+
+
+def test_both_runs_from_one_search(spark):
+    """The runs of BM25 and TF-IDF of one search are those of a search each."""
+    text = lambda i: " ".join(f"w{(i * j) % 23 + j % 3}" for j in range(i % 17)) + f" id{i}"
+    docs = spark.createDataFrame([(i, text(i) if i != 5 else None) for i in range(90)] + [(None, text(40))], "doc_id int, text string")
+    args = docs, docs.where("doc_id % 9 = 4").withColumnRenamed("doc_id", "query_id"), T.index_tokens("text"), T.index_tokens("text"), "query_id", 7
+    both = R.bm25_tfidf(*args)
+    for name, alone in (("bm25", R.bm25(*args)), ("tfidf", R.tfidf(*args))):
+        assert sorted(map(str, both.where(F.col("ranker") == name).select(*alone.columns).collect())) == sorted(map(str, alone.collect()))
