@@ -63,3 +63,18 @@ def test_both_runs_from_one_search(spark):
     both = R.bm25_tfidf(*args)
     for name, alone in (("bm25", R.bm25(*args)), ("tfidf", R.tfidf(*args))):
         assert sorted(map(str, both.where(F.col("ranker") == name).select(*alone.columns).collect())) == sorted(map(str, alone.collect()))
+
+
+def test_character_terms_of_words(spark, monkeypatch):
+    """Terms made of words within a task are those of the column, in counts and in the run; no row for a term of a document."""
+    monkeypatch.setattr(B, "SLICE", 7)
+    rows = [(i, " ".join(f"wört{(i * j) % 11}s" for j in range(i % 9)) + f"\tx{i} 😀é" if i % 13 else None) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (90, "")], "doc_id long, text string")
+    parts = T.char_words("text"), T.char_windows
+    want, got = B.doc_freq(docs, T.char_wb("text")), B.doc_freq_of_parts(docs, *parts)
+    assert {(r.term, r.df) for r in got.collect()} == {(r.term, r.df) for r in want.collect()}
+    q = docs.where("doc_id % 7 = 1").withColumnRenamed("doc_id", "query_id")
+    for least in (1, 2):
+        a = R.tfidf(docs, q, T.char_wb("text"), T.char_wb("text"), "query_id", 5, least)
+        b = R.tfidf(docs, q, T.char_wb("text"), T.char_wb("text"), "query_id", 5, least, parts)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count()
