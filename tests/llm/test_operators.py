@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomrank.llm import covertree, decontaminate, hdlang, hpylm, htmltext, neardup, packing, secrets, tokencount, toxicity
 from loomrank.llm.components import UnionFind, components
@@ -305,3 +306,15 @@ def test_pipeline_small(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_secret_findings_of_all_documents(spark):
+    """Every document's findings teach the network, those without a doc_id too, whatever their number."""
+    n = 9000
+    docs = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("token="), F.translate(F.md5(F.col("id").cast("string")), "0123abcdef", "GHJKABCDEF")).alias("text"))
+    rows = secrets.findings(docs).collect()
+    assert len(rows) == len(set(rows)) == 2 * n and {r["y"] for r in rows} == {1}
+    few, many = secrets.encoded(secrets.generated(300)), secrets.encoded([(r["w"], 1, r["fold"]) for r in rows])
+    net = secrets.fitted(np.concatenate([few, many]), made=len(few))
+    with_corpus = net.scores([r["w"] for r in rows[:500]])
+    assert (with_corpus >= net.threshold).mean() > 0.95
