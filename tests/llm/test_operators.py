@@ -318,3 +318,17 @@ def test_secret_findings_of_all_documents(spark):
     net = secrets.fitted(np.concatenate([few, many]), made=len(few))
     with_corpus = net.scores([r["w"] for r in rows[:500]])
     assert (with_corpus >= net.threshold).mean() > 0.95
+
+
+def test_code_book_counts_all_training_rows(spark):
+    """The book's words come from whole counts; of equals the smallest hashes."""
+    texts = [(i, f"w{i % 7} w{i % 11} only{i}") for i in range(300)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    want = Counter(w for i, t in texts if not fold(i) for w in [*words(t), b""])
+    src = frame(spark, texts).selectExpr("doc_id", "pmod(crc32(cast(doc_id as string)), 10) = 0 as held_out", "text")
+    counts = hpylm.word_counts(src.where("not held_out"))
+    ranked = sorted((-n, int(np.uint64(h).view(np.int64))) for n, h in zip(want.values(), hpylm.word_hashes(list(want))) if n > 1)
+    for most in (1, 5, 40, 10_000):
+        got = [(-r["n"], r["w"]) for r in hpylm.frequent(counts, most).collect()]
+        assert got == ranked[:most]
+    assert hpylm.frequent(counts.where("false"), 5).count() == 0
