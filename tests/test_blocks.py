@@ -1,7 +1,10 @@
 """Block products give what joins of postings give, and shuffle no row for a pair."""
 
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +81,58 @@ def test_character_terms_of_words(spark, monkeypatch):
         a = R.tfidf(docs, q, T.char_wb("text"), T.char_wb("text"), "query_id", 5, least)
         b = R.tfidf(docs, q, T.char_wb("text"), T.char_wb("text"), "query_id", 5, least, parts)
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count()
+
+
+CELLS = [(k1, b) for k1 in (0.6, 1.2, 1.5) for b in (0.25, 0.75, 0.9)]
+
+
+def _own_text(i):
+    common = " ".join(f"w{(i * j) % 23 + j % 3}" for j in range(1 + (i * i) % 29))
+    return f"{common} {' '.join(f'id{i // 2}' for _ in range(1 + i % 3))} {'' if i % 4 else f'only{i} only{i}'}"
+
+
+def test_own_documents_bound_the_search(spark):
+    """Queries that are documents: the best of every setting as without bounds; copies, short texts, null texts and an id of two texts too."""
+    rows = [(i, _own_text(i)) for i in range(120)] + [(200 + i, _own_text(3 * i)) for i in range(20)] + [(6, "w1 w2 twice"), (9, None), (300, None), (301, "w1"), (302, "w1 w1 w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    q, words = docs.where("doc_id % 3 = 0 or doc_id > 199").withColumnRenamed("doc_id", "query_id"), T.index_tokens("text")
+    want, got = (R.bm25_grid(docs, q, words, words, "query_id", 1, CELLS, **x).collect() for x in ({}, {"own": True}))
+    assert len(want) == 62 * len(CELLS) and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def _own_side(texts, own):
+    """Documents, and those of ``own`` as queries with their counts."""
+    counts = [Counter(x) for x in texts]
+    df = Counter(t for c in counts for t in c)
+    terms = sorted(df, key=lambda t: (-df[t], t))
+    place = {t: i for i, t in enumerate(terms)}
+    entries = [sorted((place[t], n) for t, n in counts[i].items()) for i in own]
+    term, qtf = (np.array([e[k] for x in entries for e in x]) for k in (0, 1))
+    start, avgdl = np.cumsum([0, *map(len, entries)]), float(np.mean([len(x) for x in texts]))
+    side = B.Side(pa.array(terms), np.array([df[t] for t in terms]), len(texts), np.array(own), np.arange(len(own)), start, term, qtf.astype(float), cells=CELLS, avgdl=avgdl)
+    side.weight = side.idf(side.df)[term] ** 2
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "tokens"]), side, qtf.astype(float)
+
+
+@pytest.mark.parametrize("skip, many, apart", [(0.5, 0.04, 7), (0.0, 1.0, 400), (0.9, 1.0, 7), (0.5, -1.0, 7)])
+def test_bounds_in_small_blocks(monkeypatch, skip, many, apart):
+    """With pieces of every size, frequent terms left out or not, and unknown floors."""
+    for name, value in (("DENSE", 3), ("DOCS", 16), ("QUERIES", 4), ("SLICE", 40), ("SKIP", skip), ("MANY", many), ("HITS", 50)):
+        monkeypatch.setattr(B, name, value)
+    docs, side, qtf = _own_side([_own_text(i).split() for i in range(120)] + [["w1"], ["w1"] * 9], [*range(0, 120, 3), 120, 121])
+    want = B._scan(iter([docs]), side, 1)
+    side.set_floor(qtf, side.ids[::apart][1:])
+    for a, b in zip(want, B._scan(iter([docs]), side, 1), strict=True):
+        assert a.id.tolist() == b.id.tolist() and np.abs(a.score - b.score).max() < 2e-6
+
+
+def test_settings_are_not_multiplied_for_pairs_out_of_reach(monkeypatch):
+    """No matrix of all settings for documents that are not near a query's own."""
+    rng = np.random.default_rng(3)
+    texts = [[*(f"w{x}" for x in rng.integers(0, 40, 30)), *(f"r{x}" for x in rng.integers(0, 5000, 8))] for _ in range(400)]
+    docs, side, qtf = _own_side(texts, range(0, 400, 10))
+    want = B._scan(iter([docs]), side, 1)
+    side.set_floor(qtf, np.array([], np.int64))
+    monkeypatch.setattr(B, "_products", None)
+    for a, b in zip(want, B._scan(iter([docs]), side, 1), strict=True):
+        assert a.id.tolist() == b.id.tolist() and np.abs(a.score - b.score).max() < 2e-6
