@@ -12,6 +12,7 @@ from loomrank.functions import text as T
 from loomrank.operators import audit as A
 from loomrank.operators import blocks as B
 from loomrank.operators import retrieval as R
+from loomrank.plans import report_queries
 
 
 def test_blocks_equal_joins(spark, monkeypatch):
@@ -136,3 +137,11 @@ def test_settings_are_not_multiplied_for_pairs_out_of_reach(monkeypatch):
     monkeypatch.setattr(B, "_products", None)
     for a, b in zip(want, B._scan(iter([docs]), side, 1), strict=True):
         assert a.id.tolist() == b.id.tolist() and np.abs(a.score - b.score).max() < 2e-6
+
+
+def test_family_best_bounds_its_search(spark, monkeypatch):
+    """Each query starts with the score of its own document, under every setting."""
+    seen, plain = [], B.Side.set_floor
+    monkeypatch.setattr(B.Side, "set_floor", lambda self, *args: (plain(self, *args), seen.append(self.floor)))
+    best = report_queries.family_best(spark, "/root/testdata/sf0.001").collect()
+    assert len(best) == 5 and len(seen) == 1 and len(seen[0]) == 25 and (seen[0] > 0).all()
